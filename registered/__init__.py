@@ -1,5 +1,5 @@
 """Queries over the shared test tables, each with its SQL twin where SQL can say it."""
 
-from registered import keyword_queries, vector_queries
+from registered import hybrid_queries, keyword_queries, similarity_queries, vector_queries
 
-MODULES = (vector_queries, keyword_queries)
+MODULES = (vector_queries, keyword_queries, hybrid_queries, similarity_queries)

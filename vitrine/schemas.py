@@ -33,23 +33,23 @@ SOURCE2_CSV = _strings(
 
 _RECORD_META = "struct<title string, artist string, collection string, has_image boolean, has_description boolean>"
 
-EMBEDDING_RECORD = T.StructType.fromDDL(
+EMBEDDING_RECORD = (
     "artwork_id string, embedding array<float>, timestamp string, model string, dimension int, "
     f"metadata {_RECORD_META}"
 )
 
-DESCRIPTION_RECORD = T.StructType.fromDDL(
+DESCRIPTION_RECORD = (
     "artwork_id string, alt_text string, long_description string, emoji_summary string, has_violations boolean, "
     "violations array<string>, timestamp string, model string, "
     "metadata struct<title string, artist string, date string, medium string, collection string>"
 )
 
-IMAGE_CACHE_RECORD = T.StructType.fromDDL(
+IMAGE_CACHE_RECORD = (
     "object_id string, primaryImage string, primaryImageSmall string, title string, artistDisplayName string, "
     "objectDate string, hasImage boolean, fetched_at string"
 )
 
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "id string, title string, artist string, date string, medium string, dimensions string, creditLine string, "
     "collection string, collectionId string, sourceUrl string, department string, classification string, "
     "culture string, period string, dynasty string, artistBio string, artistNationality string, "
@@ -58,13 +58,11 @@ METADATA = T.StructType.fromDDL(
     "onView boolean, additionalData map<string, string>"
 )
 
-ITEM = T.StructType.fromDDL(
-    f"doc_id string, metadata {METADATA.simpleString()}, image struct<url string, thumbnailUrl string>"
-)
+ITEM = f"doc_id string, metadata struct<{METADATA}>, image struct<url string, thumbnailUrl string>"
 
-EMBEDDINGS = T.StructType.fromDDL("doc_id string, model string, vec array<float>")
+EMBEDDINGS = "doc_id string, model string, vec array<float>"
 
-QUERY_CACHE = T.StructType.fromDDL("cache_key string, jina_v3 array<float>, siglip2 array<float>, ts timestamp")
+QUERY_CACHE = "cache_key string, jina_v3 array<float>, siglip2 array<float>, ts timestamp"
 
 
 @dataclass(frozen=True)

@@ -41,7 +41,7 @@ def _rows(columns, rows):
 
 SAME_TYPE = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
-    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
 }
 
 

@@ -191,6 +191,8 @@ def grid_topk(
         queries = queries.withColumn("_c_parts", F.lit(corpus_parts))
     corpus = corpus.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_q_parts") - 1))).drop("_q_parts")
     queries = queries.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_c_parts") - 1))).drop("_c_parts")
+    # Fresh column identities, as both sides may stem from one table.
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     cell = [*keys, "_c", "_q"]
     return (
         corpus.groupBy(*cell)

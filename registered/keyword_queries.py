@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import tables as R
-from vitrine.operators.bm25 import SearchField, TextIndex, field_terms, keyword_search
+from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.fuzzy import expand_terms
+from vitrine.operators.terms import SearchField, TextIndex, wanted_terms
 
 
 def bm25_topk(spark, sf_dir):
@@ -47,11 +48,8 @@ def bm25_with_descriptions(spark, sf_dir):
 def fuzzy_terms(spark, sf_dir):
     """Vocabulary words near every word of the item names and brands."""
     index = TextIndex.of(R.items(spark, sf_dir), R.ITEM_FIELDS)
-    wanted = (
-        field_terms(_item_queries(spark, sf_dir), R.ITEM_FIELDS, "query_id", F.col("text"))
-        .select("field", F.explode("terms").alias("query_term"))
-        .distinct()
-    )
+    values = [(f, F.col("text")) for f in R.ITEM_FIELDS]
+    wanted = wanted_terms(_item_queries(spark, sf_dir), values, "query_id").select("field", "query_term").distinct()
     return expand_terms(wanted, index.vocabulary).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import truncate
-from vitrine.operators.bm25 import SearchField, TextIndex
 from vitrine.operators.metadata_similarity import Clauses
+from vitrine.operators.terms import SearchField, TextIndex
 
 TEXT_MODEL_DIMS = 32
 

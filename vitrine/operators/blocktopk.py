@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from vitrine import constants as C
 from vitrine.operators.ranking import top_n
+from vitrine.session import stage
 
 MAX_QUERY_ROWS = 8192
 MAX_QUERY_BYTES = 128 << 20
@@ -53,12 +54,14 @@ class _Best:
         self.k = k
         self.query_ids = query_ids
         self.bar = np.full(len(query_ids), -np.inf)
+        self.matches = np.zeros(len(query_ids), np.int64)
         self.rows = np.empty(0, np.int64)
         self.scores = np.empty(0)
         self.ids = np.empty(0, object)
 
     def offer(self, start: int, scores: np.ndarray, ids: np.ndarray) -> None:
         k, width = self.k, scores.shape[1]
+        self.matches[start : start + scores.shape[0]] += (scores > -np.inf).sum(axis=1)
         bar = self.bar[start : start + scores.shape[0]]
         if width > k:
             bar = np.maximum(bar, np.partition(scores, width - k, axis=1)[:, width - k])
@@ -90,13 +93,18 @@ class _Best:
         return rows[np.arange(len(rows)) - first < self.k], payload[kept], scores[kept]
 
     def table(self, query_type: pa.DataType, doc_type: pa.DataType) -> pa.RecordBatch:
+        # The first row of a query carries the number of its matches in the block.
+        order = np.argsort(self.rows, kind="stable")
+        rows, ids, scores = self.rows[order], self.ids[order], self.scores[order]
+        first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.empty(0, bool)
         return pa.record_batch(
             [
-                pa.array([self.query_ids[r] for r in self.rows], query_type),
-                pa.array(list(self.ids), doc_type),
-                pa.array(self.scores, pa.float64()),
+                pa.array([self.query_ids[r] for r in rows], query_type),
+                pa.array(list(ids), doc_type),
+                pa.array(scores, pa.float64()),
+                pa.array(np.where(first, self.matches[rows], 0), pa.int64()),
             ],
-            names=["query_id", "doc_id", "score"],
+            names=["query_id", "doc_id", "score", "matches"],
         )
 
 
@@ -161,6 +169,7 @@ def _result_schema(corpus: DataFrame, queries: DataFrame) -> T.StructType:
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("doc_id", corpus.schema["doc_id"].dataType),
             T.StructField("score", T.DoubleType()),
+            T.StructField("matches", T.LongType()),
         ]
     )
 
@@ -176,7 +185,7 @@ def grid_topk(
     corpus_block: int = CORPUS_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Best ``k`` per query and cell, only pairs with equal ``keys`` being scored.
+    """Best ``k`` per query and cell (with ``matches`` in it), only pairs with equal ``keys`` being scored.
 
     A key with more rows than one block is split on both sides, each piece meeting
     every piece of the other side, so a hot key is spread over many tasks.
@@ -222,13 +231,14 @@ def dense_topk(
     k: int,
     *,
     exclude_self: bool = False,
+    with_total: bool = False,
     spread: int | None = None,
     max_query_rows: int = MAX_QUERY_ROWS,
     max_query_bytes: int = MAX_QUERY_BYTES,
 ) -> DataFrame:
     """Best ``k`` documents per query: ``query_id, doc_id, score, rank``.
 
-    ``spread`` re-deals a corpus that comes in fewer partitions than there are cores.
+    ``with_total`` adds the number of all matching documents.  ``spread`` re-deals a corpus that comes in fewer partitions than there are cores.
     """
     head = queries.limit(max_query_rows + 1).toArrow()
     if head.num_rows <= max_query_rows and head.nbytes <= max_query_bytes:
@@ -238,4 +248,8 @@ def dense_topk(
         partial = corpus.mapInArrow(_scan(shared, scorer, k, exclude_self), _result_schema(corpus, queries))
     else:
         partial = grid_topk(corpus, queries, scorer, k, exclude_self=exclude_self)
-    return top_n(partial, k)
+    if not with_total:
+        return top_n(partial.drop("matches"), k)
+    partial = stage(partial)  # read twice: to rank and to count
+    totals = partial.groupBy("query_id").agg(F.sum("matches").alias("total"))
+    return top_n(partial.drop("matches"), k).join(totals, "query_id")

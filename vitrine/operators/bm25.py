@@ -1,170 +1,15 @@
-"""BM25 keyword ranking over boosted fields.
-
-A corpus becomes three tables: postings, document frequencies and field statistics.
-They can be written once and read for every batch of queries (``TextIndex.write``),
-or derived on the fly from the corpus.
-"""
+"""BM25 keyword ranking over boosted fields, the best field of a document counting."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import constants as C
-from vitrine.functions import text
-from vitrine.functions.scoring import idf, saturation
-from vitrine.operators.fuzzy import expand_terms
-from vitrine.operators.ranking import top_n
-from vitrine.session import fits, stage
-
-# Most query-term rows that are sent to every task; beyond it the join shuffles.
-BROADCAST_TERMS = 500_000
-
-
-@dataclass(frozen=True)
-class SearchField:
-    """A searched column: analysed text, or an exact value matched as a whole."""
-
-    name: str
-    boost: float = 1.0
-    exact: bool = False
-    column: str | None = None
-
-    def terms(self, source: Column | None = None) -> Column:
-        value = F.col(self.column or self.name) if source is None else source
-        return F.when(value.isNotNull(), F.array(value) if self.exact else text.tokens(value))
-
-
-def default_fields(include_descriptions: bool = False) -> list[SearchField]:
-    """The fields of the unified item, with their boosts."""
-    fields = [SearchField(n, b, column=f"metadata.{n}") for n, b in C.TEXT_BOOSTS.items()]
-    fields += [SearchField(n, b, exact=True, column=f"metadata.{n}") for n, b in C.KEYWORD_BOOSTS.items()]
-    if include_descriptions:
-        fields += [SearchField(n, b) for n, b in C.DESCRIPTION_BOOSTS.items()]
-    return fields
-
-
-def field_terms(df: DataFrame, fields: Sequence[SearchField], id_col: str, source: Column | None = None) -> DataFrame:
-    """``id, field, terms`` of every field that has any term; one scan for all fields."""
-    entries = [F.struct(F.lit(f.name).alias("field"), f.terms(source).alias("terms")) for f in fields]
-    return df.select(id_col, F.inline(F.array(*entries))).where(F.size("terms") > 0)
-
-
-@dataclass(frozen=True)
-class TextIndex:
-    """Searchable form of a corpus.
-
-    ``terms(doc_id, field, terms)`` or written ``postings(doc_id, field, term, tf, dl)``;
-    ``vocabulary(field, term, df)``; ``stats(field, n_docs, avg_length)``.
-    """
-
-    fields: tuple[SearchField, ...]
-    vocabulary: DataFrame
-    stats: DataFrame
-    terms: DataFrame | None = None
-    postings: DataFrame | None = None
-
-    @staticmethod
-    def of(corpus: DataFrame, fields: Sequence[SearchField]) -> TextIndex:
-        terms = field_terms(corpus, fields, "doc_id")
-        vocabulary = (
-            terms.select("field", F.explode(F.array_distinct("terms")).alias("term"))
-            .groupBy("field", "term")
-            .agg(F.count(F.lit(1)).alias("df"))
-        )
-        stats = terms.groupBy("field").agg(
-            F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_length")
-        )
-        return TextIndex(tuple(fields), vocabulary, stats, terms=terms)
-
-    def all_postings(self) -> DataFrame:
-        return self.postings if self.postings is not None else _count_terms(_exploded(self.terms))
-
-    def matching_postings(self, weights: DataFrame, small: bool) -> DataFrame:
-        """Postings of the weighted terms; a small term table prunes tokens before they are counted."""
-        if self.postings is not None or not small:
-            return self.all_postings()
-        wanted = F.broadcast(weights.select("field", "term").distinct())
-        return _count_terms(_exploded(self.terms).join(wanted, ["field", "term"], "left_semi"))
-
-    def write(self, path: str, partitions: int | None = None) -> None:
-        """Write the index.  Postings are range-partitioned and sorted by term, so a
-        search reads the row groups of its terms only, and a frequent term spans files."""
-        order = ["field", "term", "doc_id"]
-        postings = self.all_postings()
-        ranged = postings.repartitionByRange(partitions, *order) if partitions else postings.repartitionByRange(*order)
-        ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-
-    @staticmethod
-    def read(spark: SparkSession, path: str, fields: Sequence[SearchField]) -> TextIndex:
-        return TextIndex(
-            tuple(fields),
-            spark.read.parquet(f"{path}/vocabulary"),
-            spark.read.parquet(f"{path}/stats"),
-            postings=spark.read.parquet(f"{path}/postings"),
-        )
-
-
-def _exploded(terms: DataFrame) -> DataFrame:
-    return terms.select("doc_id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-
-
-def _count_terms(exploded: DataFrame) -> DataFrame:
-    return exploded.groupBy("doc_id", "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_weights(queries: DataFrame, index: TextIndex, fuzzy: bool = True) -> DataFrame:
-    """``query_id, field, term, weight, avg_length``: what a matching posting is worth.
-
-    ``queries(query_id, text)``.  A repeated query word counts as often as it occurs.
-    """
-    wanted = (
-        field_terms(queries, index.fields, "query_id", F.col("text"))
-        .select("query_id", "field", F.explode("terms").alias("query_term"))
-        .groupBy("query_id", "field", "query_term")
-        .agg(F.count(F.lit(1)).alias("repeats"))
-    )
-    if fuzzy:
-        distinct = wanted.select("field", "query_term").distinct()
-        found = expand_terms(distinct, index.vocabulary)
-    else:
-        found = index.vocabulary.select(
-            "field", F.col("term").alias("query_term"), "term", F.lit(1.0).alias("similarity"), "df"
-        )
-    boosts = F.create_map(*[F.lit(x) for f in index.fields for x in (f.name, f.boost)])
-    weight = (
-        boosts[F.col("field")] * idf(F.col("n_docs"), F.col("df")) * F.col("similarity") * F.col("repeats")
-    )
-    return (
-        wanted.join(found, ["field", "query_term"])
-        .join(F.broadcast(index.stats), "field")  # one row per field
-        .groupBy("query_id", "field", "term", "avg_length")
-        .agg(F.sum(weight).alias("weight"))
-    )
-
-
-def match_scores(weights: DataFrame, index: TextIndex) -> DataFrame:
-    """``query_id, doc_id, score`` of every matching pair: the best field counts.
-
-    One shuffle of matching pairs: per-field sums and their maximum come from a single
-    aggregation.
-    """
-    weights = stage(weights)
-    small = fits(weights, BROADCAST_TERMS)
-    postings = index.matching_postings(weights, small)
-    pairs = postings.join(F.broadcast(weights) if small else weights, ["field", "term"])
-    exact = F.col("field").isin([f.name for f in index.fields if f.exact])
-    worth = F.col("weight") * F.when(exact, F.lit(1.0)).otherwise(
-        saturation(F.col("tf"), F.col("dl"), F.col("avg_length"))
-    )
-    per_field = [F.sum(F.when(F.col("field") == f.name, worth)) for f in index.fields]
-    best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
-    return pairs.groupBy("query_id", "doc_id").agg(F.round(best, C.SCORE_DIGITS).alias("score"))
+from vitrine.operators.blocktopk import dense_topk
+from vitrine.operators.features import FeatureScorer
+from vitrine.operators.terms import TextIndex, candidate_terms, wanted_terms, weighted_features
+from vitrine.session import stage
 
 
 def keyword_search(
@@ -173,11 +18,25 @@ def keyword_search(
     size: int = C.DEFAULT_SIZE,
     fuzzy: bool = True,
     with_total: bool = False,
+    **options,
 ) -> DataFrame:
-    """Ranked list ``query_id, doc_id, score, rank`` (and ``total`` matches)."""
-    matches = match_scores(term_weights(queries, index, fuzzy), index)
-    ranked = top_n(matches, size)
-    if not with_total:
-        return ranked
-    totals = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return ranked.join(totals, "query_id")
+    """Ranked list ``query_id, doc_id, score, rank`` (and ``total`` matches).
+
+    ``queries(query_id, text)``; equal texts are searched once.  Documents are scored
+    where they lie, only the best of each task are shuffled.
+    """
+    texts = queries.select("text").distinct()
+    values = [(f, F.col("text")) for f in index.fields]
+    wanted = wanted_terms(texts, values, "text")
+    features = stage(weighted_features(wanted, index, [f.name for f in index.fields] if fuzzy else []))
+    ranked = dense_topk(
+        candidate_terms(index, features),
+        features,
+        FeatureScorer(index.fields, best_field=True),
+        size,
+        with_total=with_total,
+        **options,
+    )
+    columns = ["query_id", "doc_id", "score", "rank", *(["total"] if with_total else [])]
+    asked = queries.select("query_id", "text")
+    return asked.join(ranked.withColumnRenamed("query_id", "text"), "text").select(*columns)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import schemas
-from vitrine.operators.bm25 import TextIndex, default_fields
 from vitrine.operators.enrich import attach_descriptions, coverage
+from vitrine.operators.terms import TextIndex, default_fields
 from vitrine.plans.jobs import vectors_of
 from vitrine.sources import store
 from vitrine.sources.files import read_jsonl

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from vitrine import constants as C
 from vitrine.functions import scoring, text
-from vitrine.operators.bm25 import TextIndex, keyword_search
+from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.fusion import as_list, fuse
 from vitrine.operators.knn import semantic_search
 from vitrine.operators.tags import tag_search
+from vitrine.operators.terms import TextIndex
 from vitrine.schemas import EMBEDDING_MODELS
 
 DEFAULT_BALANCE = 0.5

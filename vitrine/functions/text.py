@@ -19,13 +19,14 @@ NOT_SPACE = SPACE.replace("[", "[^", 1)
 # underscores run on, some punctuation joins letters or digits on both sides, an
 # ideograph or hiragana letter stands alone.  Possessive, so long junk stays linear.
 _ALONE = r"\p{IsHan}\p{IsHiragana}"
-_LETTER = rf"[\p{{L}}\p{{M}}_&&[^{_ALONE}]]"
+_LETTER = rf"[a-z_[\p{{L}}\p{{M}}&&[^{_ALONE}]]]"
 _JOIN_LETTERS = r"[.:\u00B7'\u2018\u2019\u2024\u2027\uFE13\uFE52\uFE55\uFF07\uFF0E\uFF1A]"
 _JOIN_DIGITS = r"[.,;'\u2018\u2019\u2024\u066C\uFE10\uFE14\uFE50\uFE52\uFE54\uFF07\uFF0C\uFF0E\uFF1B]"
+_DIGIT = r"[0-9\p{Nd}]"
 TOKEN = (
-    rf"[{_ALONE}]"
-    rf"|(?:\p{{Nd}}++(?:{_JOIN_DIGITS}\p{{Nd}}++)*+"
-    rf"|{_LETTER}++(?:{_JOIN_LETTERS}{_LETTER}++)*+)++"
+    rf"(?:{_LETTER}++(?:{_JOIN_LETTERS}{_LETTER}++)*+"
+    rf"|{_DIGIT}++(?:{_JOIN_DIGITS}{_DIGIT}++)*+)++"
+    rf"|[{_ALONE}]"
 )
 
 

@@ -29,9 +29,12 @@ from vitrine.session import stage
 
 MAX_QUERY_ROWS = 8192
 MAX_QUERY_BYTES = 128 << 20
-CELLS_AT_ONCE = 4_000_000
+# Scores held at once: few enough to stay in a core's cache.
+CELLS_AT_ONCE = 500_000
 CORPUS_BLOCK = 50_000
 QUERY_BLOCK = 4096
+# Scores this close may round to the same value.
+_SLACK = 2 * 10.0**-C.SCORE_DIGITS
 
 
 class Scorer(Protocol):
@@ -60,17 +63,24 @@ class _Best:
         self.ids = np.empty(0, object)
 
     def offer(self, start: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        k, width = self.k, scores.shape[1]
-        self.matches[start : start + scores.shape[0]] += (scores > -np.inf).sum(axis=1)
-        bar = self.bar[start : start + scores.shape[0]]
-        if width > k:
+        """Take in a block; rows are queries from ``start``, columns documents by rising id.
+
+        Scores are rounded after a first cut with some slack, so most are never rounded.
+        """
+        k, (height, width) = self.k, scores.shape
+        self.matches[start : start + height] += np.count_nonzero(scores > -np.inf, axis=1)
+        bar = self.bar[start : start + height]
+        close = scores >= (bar - _SLACK)[:, None]
+        close &= scores > -np.inf
+        if width > k and np.count_nonzero(close) > 4 * k * height:
             bar = np.maximum(bar, np.partition(scores, width - k, axis=1)[:, width - k])
-        rows, cols = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+            close &= scores >= (bar - _SLACK)[:, None]
+        rows, cols = np.nonzero(close)
         if not len(rows):
             return
-        values = scores[rows, cols]
+        values = np.round(scores[rows, cols], C.SCORE_DIGITS)
         rows, cols, values = self._cut(rows, cols, values, cols)
-        keep = (self.rows >= start) & (self.rows < start + scores.shape[0])
+        keep = (self.rows >= start) & (self.rows < start + height)
         all_rows = np.concatenate([self.rows[keep], rows + start])
         all_scores = np.concatenate([self.scores[keep], values])
         all_ids = np.concatenate([self.ids[keep], ids[cols]])
@@ -117,7 +127,7 @@ def _offer_block(best: _Best, scorer: Scorer, queries: Any, positions: dict, tab
     step = max(1, CELLS_AT_ONCE // max(1, len(ids)))
     for start in range(0, len(best.query_ids), step):
         stop = min(start + step, len(best.query_ids))
-        scores = np.round(scorer.score(queries, documents, start, stop), C.SCORE_DIGITS)
+        scores = scorer.score(queries, documents, start, stop)
         if own is not None:
             mine = (own >= start) & (own < stop)
             scores[own[mine] - start, np.nonzero(mine)[0]] = -np.inf
@@ -190,8 +200,11 @@ def grid_topk(
     A key with more rows than one block is split on both sides, each piece meeting
     every piece of the other side, so a hot key is spread over many tasks.
     """
-    corpus, corpus_parts = _split(corpus, "doc_id", keys, corpus_block, "_c")
     queries, query_parts = _split(queries, "query_id", keys, query_block, "_q")
+    # A small grid is cut finer, for every core to have its cell.
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    at_least = 1 if keys else math.ceil(2 * cores / query_parts)
+    corpus, corpus_parts = _split(corpus, "doc_id", keys, corpus_block, "_c", at_least)
     if keys:
         corpus = corpus.join(query_parts, list(keys), "inner")
         queries = queries.join(corpus_parts, list(keys), "inner")
@@ -210,10 +223,10 @@ def grid_topk(
     )
 
 
-def _split(df: DataFrame, id_col: str, keys: Sequence[str], block: int, out: str):
+def _split(df: DataFrame, id_col: str, keys: Sequence[str], block: int, out: str, at_least: int = 1):
     """Add the piece number ``out``; also give the number of pieces (per key)."""
     if not keys:
-        parts = max(1, math.ceil(df.count() / block))
+        parts = max(at_least, math.ceil(df.count() / block))
         return df.withColumn(out, F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")), parts
     parts_col = f"{out}_parts"
     parts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(parts_col))

@@ -11,6 +11,10 @@ import pyarrow.compute as pc
 from vitrine import constants as C
 from vitrine.operators.terms import SearchField
 
+# Share of a block's documents from which a term counts as frequent, and the most such terms.
+FREQUENT = 0.01
+MOST_FREQUENT = 128
+
 
 class FeatureScorer:
     """Field scores are sums over matching terms; the best field, or all of them, count.
@@ -23,9 +27,16 @@ class FeatureScorer:
     def __init__(self, fields: Sequence[SearchField], best_field: bool):
         self.fields = tuple(fields)
         self.best_field = best_field
+        self._room: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, height: int, width: int) -> np.ndarray:
+        """A reused array; fresh ones of this size cost more than the arithmetic in them."""
+        if name not in self._room or self._room[name].size < height * width:
+            self._room[name] = np.empty(height * width)
+        return self._room[name][: height * width].reshape(height, width)
 
     def queries(self, table: pa.Table):
-        """Per field: its distinct terms, and who wants them, grouped by term."""
+        """Per field: its distinct terms, and who wants which, by rising query."""
         lists = table["features"].combine_chunks()
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         owner = np.repeat(np.arange(len(lists)), lengths)
@@ -37,12 +48,9 @@ class FeatureScorer:
             if not len(at):
                 continue
             terms = flat.field("term").take(pa.array(at)).dictionary_encode()
-            codes = terms.indices.to_numpy()
-            order = np.lexsort((owner[at], codes))
-            bounds = np.searchsorted(codes[order], np.arange(len(terms.dictionary) + 1))
-            weights = flat.field("weight").to_numpy()[at][order]
+            weights = flat.field("weight").to_numpy()[at]
             average = flat.field("avg_length").to_numpy()[at[0]]
-            sparse[item.name] = (terms.dictionary, owner[at][order], weights, bounds, average)
+            sparse[item.name] = (terms.dictionary, owner[at], terms.indices.to_numpy(), weights, average)
         return sparse
 
     def documents(self, table: pa.Table, queries):
@@ -59,29 +67,48 @@ class FeatureScorer:
             else:
                 docs, codes, worth = _saturated(table, item.name, vocabulary, average)
             order = np.lexsort((docs, codes))
+            docs, worth = docs[order], worth[order]
             bounds = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
-            sparse[item.name] = (docs[order], worth[order], bounds)
+            # Frequent terms as a matrix, which multiplies faster than it is looked up.
+            counts = np.diff(bounds)
+            frequent = np.argsort(-counts, kind="stable")[:MOST_FREQUENT]
+            frequent = frequent[counts[frequent] >= FREQUENT * table.num_rows]
+            matrix = np.zeros((len(frequent), table.num_rows))
+            for row, term in enumerate(frequent):
+                matrix[row, docs[bounds[term] : bounds[term + 1]]] = worth[bounds[term] : bounds[term + 1]]
+            row_of = np.full(len(vocabulary), -1)
+            row_of[frequent] = np.arange(len(frequent))
+            sparse[item.name] = (docs, worth, bounds, row_of, matrix)
         return sparse, table.num_rows
 
     def score(self, queries, documents, start: int, stop: int) -> np.ndarray:
         total = self.sums(queries, documents, start, stop)
-        return np.where(total > 0, total, -np.inf)
+        total[total <= 0] = -np.inf
+        return total
 
     def sums(self, queries, documents, start: int, stop: int) -> np.ndarray:
         """Feature scores of queries ``start:stop``; every match is worth more than zero."""
         sparse, width = documents
-        total = np.zeros((stop - start, width))
-        for name, (docs, worth, d_bounds) in sparse.items():
-            _, owner, weights, q_bounds, _ = queries[name]
-            scores = np.zeros_like(total) if self.best_field else total
-            for term in np.nonzero(np.diff(d_bounds))[0]:
-                lo, hi = q_bounds[term], q_bounds[term + 1]
-                lo, hi = lo + np.searchsorted(owner[lo:hi], [start, stop])
-                if lo < hi:
-                    d = slice(d_bounds[term], d_bounds[term + 1])
-                    scores[np.ix_(owner[lo:hi] - start, docs[d])] += np.outer(weights[lo:hi], worth[d])
+        total = self.room("total", stop - start, width)
+        total[:] = 0
+        for name, (docs, worth, bounds, row_of, matrix) in sparse.items():
+            _, owner, codes, weights, _ = queries[name]
+            lo, hi = np.searchsorted(owner, [start, stop])
+            mine, codes, weights = owner[lo:hi] - start, codes[lo:hi], weights[lo:hi]
+            row = row_of[codes]
+            wanted = np.zeros((stop - start, len(matrix)))
+            wanted[mine[row >= 0], row[row >= 0]] = weights[row >= 0]
+            scores = np.matmul(wanted, matrix, out=self.room("field", stop - start, width))
+            order = np.nonzero((row < 0) & (bounds[codes + 1] > bounds[codes]))[0]
+            order = order[np.argsort(codes[order], kind="stable")]
+            terms, first = np.unique(codes[order], return_index=True)
+            for term, group in zip(terms, np.split(order, first[1:])):
+                d = slice(bounds[term], bounds[term + 1])
+                scores[np.ix_(mine[group], docs[d])] += np.outer(weights[group], worth[d])
             if self.best_field:
                 np.maximum(total, scores, out=total)
+            else:
+                total += scores
         return total
 
 

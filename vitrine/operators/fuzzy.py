@@ -67,6 +67,10 @@ def swap_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_swap_distance(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
+# Keeps the planner from evaluating it below ``distinct`` as well.
+swap_distance = swap_distance.asNondeterministic()
+
+
 def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int = C.MAX_EXPANSIONS) -> DataFrame:
     """Vocabulary terms near each wanted term.
 

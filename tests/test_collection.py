@@ -274,6 +274,17 @@ def test_query_cache(spark):
     assert list(merged[key("old")].jina_v3) == [2.0] and key("half") not in merged and len(merged) == 4
 
 
+def test_embed_missing(spark):
+    now = F.lit(datetime(2024, 1, 10))
+    cache = spark.createDataFrame([], schemas.QUERY_CACHE)
+    log = spark.createDataFrame([("1", "sea"), ("2", "SEA "), ("3", "sky")], "query_id string, text string")
+    models = {"jina_v3": jobs.hashing_embedder(4), "siglip2": jobs.hashing_embedder(6)}
+    fresh = query_cache.embed_missing(log, cache, models, now)
+    filled = query_cache.merged(cache, fresh.select("cache_key", "jina_v3", "siglip2", "ts"))
+    assert filled.count() == 2
+    assert query_cache.to_embed(log, filled, now).count() == 0
+
+
 def test_incremental_ingest(spark, tmp_path):
     source, target, check = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "check")
     schema = "artwork_id string, alt_text string, timestamp string"

@@ -199,6 +199,56 @@ def test_fuzzy_equals_brute_force(spark):
     assert got == want
 
 
+def test_fuzzy_long_words(spark):
+    """Words around and beyond the length at which segments take over from deletions."""
+    random.seed(8)
+    wanted, vocabulary = [], set()
+    for n in [9, 10, 11, 12, 13, 14, 15, 16, 20, 31, 400, 20000]:
+        word = "".join(random.choices("abcdefgh", k=n))
+        wanted.append(word)
+        for _ in range(40):
+            letters = list(word)
+            for _ in range(random.randint(0, 3)):
+                at = random.randrange(len(letters) - 1)
+                kind = random.choice("idsx")
+                if kind == "i":
+                    letters.insert(random.choice([0, at, len(letters)]), random.choice("abz"))
+                elif kind == "d":
+                    del letters[random.choice([0, at, len(letters) - 1])]
+                elif kind == "s":
+                    letters[at] = "z"
+                else:
+                    letters[at], letters[at + 1] = letters[at + 1], letters[at]
+            vocabulary.add("".join(letters))
+    got = expand_terms(
+        spark.createDataFrame([("f", w) for w in wanted], "field string, query_term string"),
+        spark.createDataFrame([("f", v, 1) for v in vocabulary], "field string, term string, df long"),
+    )
+    got = {(r.query_term, r.term): r.edits for r in got.collect()}
+    want = {}
+    for w in wanted:
+        for v in vocabulary:
+            if abs(len(w) - len(v)) <= 2 and _swap_distance(w, v, 2) <= 2:
+                want[w, v] = _swap_distance(w, v, 2)
+    assert len(want) > 200
+    assert got == want
+
+
+def test_bounded_distance_is_exact():
+    random.seed(2)
+    for _ in range(3000):
+        a, b = ("".join(random.choices("abc", k=random.randint(0, 7))) for _ in "xy")
+        full = _swap_distance(a, b)
+        near = _swap_distance(a, b, 2)
+        assert near == full if full <= 2 else near > 2
+
+
+def test_options_from_params():
+    options = SearchOptions.from_params({"keyword": "false", "models": "siglip2", "hybridBalance": "0.8", "hybridMode": "text"})
+    assert (options.keyword, options.hybrid, options.models, options.balance, options.mode) == (False, True, ("siglip2",), 0.8, "text")
+    assert SearchOptions.from_params({}) == SearchOptions()
+
+
 def test_swap_distance():
     assert _swap_distance("ca", "ac") == 1
     assert _swap_distance("ca", "abc") == 3

@@ -27,12 +27,12 @@ from vitrine import constants as C
 from vitrine.operators.ranking import top_n
 from vitrine.session import stage
 
-MAX_QUERY_ROWS = 8192
+MAX_QUERY_ROWS = 16_384
 MAX_QUERY_BYTES = 128 << 20
 # Scores held at once: few enough to stay in a core's cache.
 CELLS_AT_ONCE = 500_000
 CORPUS_BLOCK = 50_000
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 # Scores this close may round to the same value.
 _SLACK = 2 * 10.0**-C.SCORE_DIGITS
 

@@ -1,8 +1,12 @@
 """Fuzzy term expansion against a vocabulary.
 
-Two words within ``d`` edits (adjacent swaps count one) share a string that remains
-after at most ``d`` deletions from each, so candidates come from an equi-join on
-deletion keys and never from comparing all pairs.
+Candidates come from an equi-join on keys and never from comparing all pairs:
+
+* Two short words within ``d`` edits (an adjacent swap counts one) share a string that
+  remains after at most ``d`` deletions from each.
+* A long word would have too many of those.  It is cut into five segments instead; two
+  edits touch four at most, so one segment stands in the other word as it is, shifted
+  by two places at most.
 """
 
 from __future__ import annotations
@@ -14,6 +18,11 @@ from pyspark.sql import types as T
 
 from vitrine import constants as C
 
+_MOST_EDITS = 2
+_SEGMENTS = 5
+# Longest query term matched by deletions.
+_SHORT = 12
+
 
 def edit_budget(term: Column) -> Column:
     """AUTO fuzziness: 0, 1 or 2 edits by length."""
@@ -48,23 +57,79 @@ def deletion_keys(term: Column, edits: Column) -> Column:
     )
 
 
-def _swap_distance(left: str, right: str) -> int:
-    """Edits between two words, an adjacent swap being one, no part edited twice."""
-    before, row = None, list(range(len(right) + 1))
+def segment_keys(term: Column) -> Column:
+    """Hashes of the five segments of a word, with its length."""
+    length = F.char_length(term)
+    return F.transform(F.sequence(F.lit(0), F.lit(_SEGMENTS - 1)), lambda i: _segment(term, length, i, F.lit(0)))
+
+
+def reachable_segment_keys(term: Column) -> Column:
+    """Hashes of every segment of a word of like length that may stand in ``term``."""
+    length = F.char_length(term)
+    shifts = F.sequence(F.lit(-_MOST_EDITS), F.lit(_MOST_EDITS))
+    segments = F.sequence(F.lit(0), F.lit(_SEGMENTS - 1))
+    lengths = F.sequence(length - _MOST_EDITS, length + _MOST_EDITS)
+    return F.array_distinct(
+        F.flatten(
+            F.transform(
+                lengths,
+                lambda n: F.flatten(
+                    F.transform(segments, lambda i: F.transform(shifts, lambda by: _segment(term, n, i, by)))
+                ),
+            )
+        )
+    )
+
+
+def _segment(term: Column, length: Column, i: Column, by: Column) -> Column:
+    start = F.floor(i * length / _SEGMENTS).cast("int")
+    stop = F.floor((i + 1) * length / _SEGMENTS).cast("int")
+    return F.xxhash64(length, i, F.substring(term, start + by + 1, stop - start))
+
+
+def match_keys(term: Column, edits: Column) -> Column:
+    """Keys a query term is looked up by."""
+    hashed = F.transform(deletion_keys(term, edits), lambda w: F.xxhash64(w))
+    return F.when(F.char_length(term) <= _SHORT, hashed).otherwise(segment_keys(term))
+
+
+def vocabulary_keys(term: Column) -> Column:
+    """Keys a vocabulary term is found by, whichever way the query term asks."""
+    length = F.char_length(term)
+    # A word of length n is only reached by query terms of n-2 letters or more.
+    reach = F.when(length < 2, 0).when(length < 4, 1).otherwise(2)
+    none = F.array().cast("array<bigint>")
+    short = F.when(
+        length <= _SHORT + _MOST_EDITS, F.transform(deletion_keys(term, reach), lambda w: F.xxhash64(w))
+    ).otherwise(none)
+    long = F.when(length > _SHORT - _MOST_EDITS, reachable_segment_keys(term)).otherwise(none)
+    return F.concat(short, long)
+
+
+def _swap_distance(left: str, right: str, most: int | None = None) -> int:
+    """Edits between two words, an adjacent swap being one, no part edited twice.
+
+    With ``most``, only the cells that can still stay within it are looked at.
+    """
+    width = max(len(left), len(right)) if most is None else most
+    far = len(left) + len(right) + 1
+    before, row = {}, {j: j for j in range(min(len(right), width) + 1)}
     for i, a in enumerate(left, 1):
-        new = [i]
-        for j, b in enumerate(right, 1):
-            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b))
+        new = {0: i} if i <= width else {}
+        for j in range(max(1, i - width), min(len(right), i + width) + 1):
+            b = right[j - 1]
+            cost = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (a != b))
             if i > 1 and j > 1 and a == right[j - 2] and left[i - 2] == b:
-                cost = min(cost, before[j - 2] + 1)
-            new.append(cost)
+                cost = min(cost, before.get(j - 2, far) + 1)
+            new[j] = cost
         before, row = row, new
-    return row[-1]
+    return row.get(len(right), far)
 
 
 @F.pandas_udf(T.IntegerType())
 def swap_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_swap_distance(a, b) for a, b in zip(left, right)], dtype="int32")
+    """Edits where they are two at most, something larger otherwise."""
+    return pd.Series([_swap_distance(a, b, _MOST_EDITS) for a, b in zip(left, right)], dtype="int32")
 
 
 # Keeps the planner from evaluating it below ``distinct`` as well.
@@ -81,13 +146,11 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int =
     """
     budget = edit_budget(F.col("query_term"))
     left = wanted.withColumn("budget", budget).withColumn(
-        "deletion", F.explode(deletion_keys(F.col("query_term"), F.col("budget")))
+        "key", F.explode(F.array_distinct(match_keys(F.col("query_term"), F.col("budget"))))
     )
-    # A word of length n is only reached by query terms of n-2 letters or more.
-    reach = F.when(F.char_length("term") < 2, 0).when(F.char_length("term") < 4, 1).otherwise(2)
-    right = vocabulary.withColumn("deletion", F.explode(deletion_keys(F.col("term"), reach)))
+    right = vocabulary.withColumn("key", F.explode(F.array_distinct(vocabulary_keys(F.col("term")))))
     near = (
-        left.join(right, ["field", "deletion"])
+        left.join(right, ["field", "key"])
         .where(F.abs(F.char_length("query_term") - F.char_length("term")) <= F.col("budget"))
         .select("field", "query_term", "budget", "term", "df")
         .distinct()

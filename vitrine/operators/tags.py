@@ -58,7 +58,11 @@ def tag_matches(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def tag_search(queries: DataFrame, corpus: DataFrame, size: int = C.DEFAULT_SIZE) -> DataFrame:
-    return top_n(tag_matches(queries, corpus), size)
+    """Ranked list ``query_id, doc_id, score, rank``; equal tag lists are searched once."""
+    asked = queries.select("query_id", F.array_sort("tags").alias("tags"))
+    distinct = asked.select(F.col("tags").alias("query_id"), "tags").distinct()
+    ranked = top_n(tag_matches(distinct, corpus), size).withColumnRenamed("query_id", "tags")
+    return asked.join(ranked, "tags").select("query_id", "doc_id", "score", "rank")
 
 
 def tag_facet(corpus: DataFrame, size: int = C.FACET_SIZE) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import constants as C
 from vitrine.functions import text
 from vitrine.operators.ranking import latest_per_key
+from vitrine.plans.jobs import Embedder, embed
 
 
 def age_seconds(stamp: Column, now: Column) -> Column:
@@ -55,3 +58,15 @@ def merged(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """Cache with new entries; only those with both vectors are kept, the newest per key wins."""
     complete = fresh.where(F.col("jina_v3").isNotNull() & F.col("siglip2").isNotNull())
     return latest_per_key(cache.unionByName(complete), ["cache_key"], [F.desc("ts")])
+
+
+def embed_missing(queries: DataFrame, cache: DataFrame, load_models: Mapping[str, Callable[[], Embedder]], now: Column) -> DataFrame:
+    """Fresh cache entries: each distinct query without live vectors is embedded once per model."""
+    missing = to_embed(queries, cache, now).select(F.col("cache_key").alias("artwork_id"), "text")
+    entries = missing.select(F.col("artwork_id").alias("cache_key"))
+    for model, load in load_models.items():
+        vectors = embed(missing, load, model).select(
+            F.col("artwork_id").alias("cache_key"), F.col("embedding").alias(model)
+        )
+        entries = entries.join(vectors, "cache_key", "left")
+    return entries.withColumn("ts", now.cast("timestamp"))

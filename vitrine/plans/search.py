@@ -35,6 +35,20 @@ class SearchOptions:
     model_fallback: bool = False
     knn: dict = field(default_factory=dict)
 
+    @staticmethod
+    def from_params(params: Mapping[str, str]) -> SearchOptions:
+        """Options of a page address: switches are on unless ``false``, all models by default."""
+        named = params.get("models")
+        wanted = named.split(",") if named else list(EMBEDDING_MODELS)
+        return SearchOptions(
+            keyword=params.get("keyword") != "false",
+            hybrid=params.get("hybrid") != "false",
+            mode=params.get("hybridMode") or "image",
+            balance=float(params.get("hybridBalance") or DEFAULT_BALANCE),
+            include_descriptions=params.get("includeDescriptions") != "false",
+            models=tuple(m for m in EMBEDDING_MODELS if m in wanted),
+        )
+
 
 def hybrid_models(mode: str, selected: Sequence[str], fallback: bool = False) -> list[str]:
     """Models a hybrid mode runs on; with ``fallback`` any selected model of the same kind."""
@@ -55,9 +69,9 @@ def route(query_text: Column, options_emoji: bool = True) -> Column:
     return F.when(text.is_emoji_only(query_text), "tags").otherwise("keyword")
 
 
-def _with_balance(queries: DataFrame) -> DataFrame:
+def _with_balance(queries: DataFrame, default: float = DEFAULT_BALANCE) -> DataFrame:
     balance = F.col("balance") if "balance" in queries.columns else F.lit(None)
-    return queries.withColumn("balance", F.coalesce(balance.cast("double"), F.lit(DEFAULT_BALANCE)))
+    return queries.withColumn("balance", F.coalesce(balance.cast("double"), F.lit(default)))
 
 
 def explain_hybrid(queries: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -181,7 +195,7 @@ def multi_mode_search(
     ``tags(doc_id, tags)`` serves the queries made of emoji only.
     """
     options = options or SearchOptions()
-    queries = _with_balance(queries)
+    queries = _with_balance(queries, options.balance)
     columns = ["query_id", "doc_id", "score", "rank"]
     found: list[DataFrame] = []
     selected = [m for m in options.models if m in vectors and f"vec_{m}" in queries.columns]

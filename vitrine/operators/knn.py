@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vitrine import constants as C
 from vitrine.operators.blocktopk import dense_topk
@@ -23,20 +23,27 @@ class CosineScorer:
     def score(self, queries, documents, start: int, stop: int) -> np.ndarray:
         if not queries.size or not documents.size:
             return np.full((stop - start, len(documents)), -np.inf)
-        scores = (1 + queries[start:stop] @ documents.T) / 2
-        return np.where(np.isnan(scores), -np.inf, scores)
+        scores = queries[start:stop] @ documents.T
+        scores += 1
+        scores /= 2
+        scores[np.isnan(scores)] = -np.inf
+        return scores
 
     @staticmethod
     def _unit(table: pa.Table) -> np.ndarray:
+        """Unit vectors; missing, empty and zero ones are not a number throughout."""
         column = table["vec"].combine_chunks()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        matrix = flat.reshape(len(column), -1)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
-
-
-def _vectors(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(id_col, "vec").where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        width = int(lengths.max(initial=0))
+        whole = lengths == width
+        if width and not (whole | (lengths == 0)).all():
+            raise ValueError("vectors of different lengths")
+        matrix = np.full((len(column), width), np.nan)
+        if width:
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            norms = np.linalg.norm(flat, axis=1, keepdims=True)
+            matrix[whole] = np.divide(flat, norms, out=np.full_like(flat, np.nan), where=norms > 0)
+        return matrix
 
 
 def semantic_search(queries: DataFrame, corpus: DataFrame, size: int = C.DEFAULT_SIZE, **options) -> DataFrame:
@@ -44,7 +51,7 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, size: int = C.DEFAULT
 
     ``queries(query_id, vec)``, ``corpus(doc_id, vec)``; options go to ``dense_topk``.
     """
-    return dense_topk(_vectors(corpus, "doc_id"), _vectors(queries, "query_id"), CosineScorer(), size, **options)
+    return dense_topk(corpus.select("doc_id", "vec"), queries.select("query_id", "vec"), CosineScorer(), size, **options)
 
 
 def similar_by_vector(corpus: DataFrame, source_ids: DataFrame | None = None, size: int = C.DEFAULT_SIZE, **options) -> DataFrame:

@@ -16,6 +16,7 @@ from vitrine.operators.knn import semantic_search
 from vitrine.operators.tags import tag_search
 from vitrine.operators.terms import TextIndex
 from vitrine.schemas import EMBEDDING_MODELS
+from vitrine.session import stage
 
 DEFAULT_BALANCE = 0.5
 
@@ -143,6 +144,8 @@ def hybrid_search(
     have = [F.col(f"vec_{m}").isNotNull() for m in models]
     available = sum((h.cast("int") for h in have[1:]), have[0].cast("int"))
     asked = queries.withColumn("n_models", available).where("n_models > 0")
+    if keyword_ranked is None:
+        asked = stage(asked)  # every list reads it, vectors and all
     settings = asked.select("query_id", "balance", "n_models")
     fetch = size * C.FUSION_FETCH
 
@@ -195,7 +198,7 @@ def multi_mode_search(
     ``tags(doc_id, tags)`` serves the queries made of emoji only.
     """
     options = options or SearchOptions()
-    queries = _with_balance(queries, options.balance)
+    queries = stage(_with_balance(queries, options.balance))
     columns = ["query_id", "doc_id", "score", "rank"]
     found: list[DataFrame] = []
     selected = [m for m in options.models if m in vectors and f"vec_{m}" in queries.columns]

@@ -4,11 +4,4 @@ Every operator takes DataFrames and returns a DataFrame.  A table of queries is
 ranked against a corpus table; one interactive query is the one-row case.
 """
 
-from pyspark import cloudpickle
-
-# Task functions travel by value, so executors need no installed copy of the package.
-import sys as _sys
-
-cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-
 __version__ = "0.1.0"

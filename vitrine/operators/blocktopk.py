@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from vitrine import constants as C
 from vitrine.operators.ranking import top_n
-from vitrine.session import stage
+from vitrine.session import ship_package, stage
 
 MAX_QUERY_ROWS = 16_384
 MAX_QUERY_BYTES = 128 << 20
@@ -33,6 +33,7 @@ MAX_QUERY_BYTES = 128 << 20
 CELLS_AT_ONCE = 500_000
 CORPUS_BLOCK = 50_000
 QUERY_BLOCK = 16_384
+MAX_TASKS = 20_000
 # Scores this close may round to the same value.
 _SLACK = 2 * 10.0**-C.SCORE_DIGITS
 
@@ -200,6 +201,7 @@ def grid_topk(
     A key with more rows than one block is split on both sides, each piece meeting
     every piece of the other side, so a hot key is spread over many tasks.
     """
+    ship_package(corpus.sparkSession)
     queries, query_parts = _split(queries, "query_id", keys, query_block, "_q")
     # A small grid is cut finer, for every core to have its cell.
     cores = corpus.sparkSession.sparkContext.defaultParallelism
@@ -216,6 +218,10 @@ def grid_topk(
     # Fresh column identities, as both sides may stem from one table.
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     cell = [*keys, "_c", "_q"]
+    if not keys:
+        # A fixed number of partitions, as little data may still be much work.
+        tasks = min(max(2 * query_parts * corpus_parts, cores), MAX_TASKS)
+        corpus, queries = corpus.repartition(tasks, *cell), queries.repartition(tasks, *cell)
     return (
         corpus.groupBy(*cell)
         .cogroup(queries.groupBy(*cell))
@@ -253,6 +259,7 @@ def dense_topk(
 
     ``with_total`` adds the number of all matching documents.  ``spread`` re-deals a corpus that comes in fewer partitions than there are cores.
     """
+    ship_package(corpus.sparkSession)
     head = queries.limit(max_query_rows + 1).toArrow()
     if head.num_rows <= max_query_rows and head.nbytes <= max_query_bytes:
         shared = queries.sparkSession.sparkContext.broadcast(head)

@@ -63,7 +63,10 @@ def covered(items: DataFrame, present: DataFrame, key: str = "doc_id") -> DataFr
 
 
 def update_matched(target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Replace ``fields`` where an update has the key; never adds rows."""
+    """Replace ``fields`` where an update has the key; never adds rows.
+
+    ``updates`` holds one row per key, as ``latest_per_key`` leaves it.
+    """
     new = updates.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     joined = target.join(new, key, "left")
     values: list[Column] = [

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine import constants as C
+from vitrine.session import ship_package
 
 _MOST_EDITS = 2
 _SEGMENTS = 5
@@ -144,6 +145,7 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int =
     expansions of a query term, so a rare misspelling does not outscore the word
     itself.  The 50 nearest terms are kept, as the search server documents it.
     """
+    ship_package(wanted.sparkSession)
     budget = edit_budget(F.col("query_term"))
     left = wanted.withColumn("budget", budget).withColumn(
         "key", F.explode(F.array_distinct(match_keys(F.col("query_term"), F.col("budget"))))

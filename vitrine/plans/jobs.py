@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import quality, text
+from vitrine.session import ship_package
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 Describer = Callable[[Sequence[str]], Sequence[dict | None]]
@@ -43,6 +44,7 @@ def embed(rows: DataFrame, load_model: Callable[[], Embedder], model_key: str, d
             status = np.where(blank, "skipped", np.where(vectors.isna(), "failed", "processed"))
             yield pd.DataFrame({"artwork_id": batch["artwork_id"], "embedding": vectors, "status": status})
 
+    ship_package(rows.sparkSession)
     key_type = rows.schema["artwork_id"].dataType.simpleString()
     done = rows.select("artwork_id", "text").mapInPandas(
         run, f"artwork_id {key_type}, embedding array<float>, status string"
@@ -73,6 +75,7 @@ def describe(rows: DataFrame, load_model: Callable[[], Describer], model_key: st
                 {"artwork_id": batch["artwork_id"], **{f: [out.get(f) for out in outputs] for f in fields}}
             )
 
+    ship_package(rows.sparkSession)
     key_type = rows.schema["artwork_id"].dataType.simpleString()
     raw = rows.select("artwork_id", "image_url").mapInPandas(
         run, f"artwork_id {key_type}, alt_text string, long_description string, emoji_summary string"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ def build_session(app_name: str = "vitrine", master: str | None = None, shuffle_
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Long texts travel to Python tasks in batches of this many rows.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     )
     if master:
         builder = builder.master(master)
@@ -24,6 +28,22 @@ def build_session(app_name: str = "vitrine", master: str | None = None, shuffle_
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_has_vitrine", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vitrine-code-"), "vitrine_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._has_vitrine = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a private one in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

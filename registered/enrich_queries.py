@@ -58,7 +58,7 @@ def backlog_anti(spark, sf_dir):
 def backlog_batch(spark, sf_dir):
     """The next hundred documents to work on."""
     docs = R.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return enrich.backlog(docs, R.vectors(spark, sf_dir), "doc_id", limit=100)
+    return enrich.backlog(docs, R.table(spark, sf_dir, "labels"), "doc_id", limit=100)
 
 
 def semi_covered(spark, sf_dir):
@@ -232,7 +232,7 @@ SELECT kind, count(d.doc_id) AS matched, (SELECT count(*) FROM documents) AS tot
 FROM kinds LEFT JOIN present USING (kind) LEFT JOIN documents d ON d.doc_id = present.doc_id GROUP BY kind""",
     "backlog_anti": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "backlog_batch": """
-SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT 100""",
+SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 100""",
     "semi_covered": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "matched_update": """
 SELECT d.doc_id, lang, CASE WHEN l.doc_id IS NOT NULL THEN 'q' || CAST(quality AS VARCHAR) ELSE source END AS source, n_chars

@@ -47,7 +47,7 @@ def hybrid_balance_sweep(spark, sf_dir):
     ranked = hybrid_search(
         queries, R.document_index(spark, sf_dir), R.model_vectors(spark, sf_dir), ["jina_v3"], SIZE, fuzzy=False
     )
-    return _sources(ranked).drop("total")
+    return _sources(ranked)
 
 
 def rrf_weights(spark, sf_dir):
@@ -174,9 +174,10 @@ ORACLE = {
     + f" SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}",
     "hybrid_balance_sweep": _with(_SWEEP, ["jina_v3"], _MIXED)
     + f"""
-SELECT {_COLUMNS}, sources FROM fused WHERE rank <= {SIZE}
-UNION ALL SELECT {_COLUMNS}, 'jina_v3' FROM jina_v3_list WHERE balance >= 0.99 AND rank <= {SIZE}
-UNION ALL SELECT {_COLUMNS}, 'keyword' FROM keyword_list WHERE balance <= 0.01 AND rank <= {SIZE}""",
+SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}
+UNION ALL SELECT {_COLUMNS}, count(*) OVER (PARTITION BY query_id), 'jina_v3' FROM jina_v3_list WHERE balance >= 0.99 AND rank <= {SIZE}
+UNION ALL SELECT {_COLUMNS}, (SELECT count(*) FROM matches m WHERE m.query_id = keyword_list.item_id), 'keyword'
+FROM keyword_list WHERE balance <= 0.01 AND rank <= {SIZE}""",
     "rrf_weights": """
 WITH b AS (SELECT DISTINCT round(l_discount * 10, 2) AS balance FROM lineitem),
 raw AS (SELECT balance, pow(1 - balance, 1.5) AS kw, pow(balance, 1.5) AS sem FROM b)

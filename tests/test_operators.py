@@ -357,6 +357,17 @@ def test_multi_mode_routes_emoji(spark, library):
     assert hits["sea", "keyword"] == 1
     assert hits["sea", "siglip2"] == 1
     assert ("words", "hybrid") in hits
+    plain = multi_mode_search(queries, index, {"siglip2": vec}, SearchOptions(size=5, include_descriptions=False, hybrid=False))
+    assert plain.where("mode = 'keyword'").count() == 5
+
+
+def test_fields_can_be_left_out(library):
+    docs, queries, df, qdf, fields, search_fields = library
+    index = TextIndex.of(df, search_fields).without({"note"})
+    kept = {n: v for n, v in fields.items() if n != "note"}
+    want, _ = brute_bm25(docs, queries, kept, True, 15)
+    got = ranks(keyword_search(qdf, index, 15))
+    assert {q: [d for d, _ in h] for q, h in got.items()} == {q: [d for d, _ in h] for q, h in want.items()}
 
 
 def test_hybrid_models():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +97,10 @@ class TextIndex:
         vocabulary = counted.where(F.col("term").isNotNull()).select("field", "term", "df")
         return TextIndex(tuple(fields), vocabulary, stats, corpus=corpus)
 
+    def without(self, names: Collection[str]) -> TextIndex:
+        """The same index, some fields not being searched."""
+        return replace(self, fields=tuple(f for f in self.fields if f.name not in names))
+
     def all_postings(self) -> DataFrame:
         if self.postings is not None:
             return self.postings

@@ -13,6 +13,7 @@ from vitrine.functions import scoring, text
 from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.fusion import as_list, fuse
 from vitrine.operators.knn import semantic_search
+from vitrine.operators.ranking import add_total
 from vitrine.operators.tags import tag_search
 from vitrine.operators.terms import TextIndex
 from vitrine.schemas import EMBEDDING_MODELS
@@ -134,9 +135,10 @@ def hybrid_search(
     """Keyword and vector lists of each query, fused by its balance.
 
     ``queries(query_id, text, balance, vec_<model>…)``; ``vectors[model](doc_id, vec)``.
-    With one model the ends of the balance run one side only and keep its scores; with
-    several, a query without a vector for a model simply has no list for it.
+    With one model the ends of the balance run one side only and keep its scores and its
+    total (all keyword matches, or the vectors listed); with several, a query without a vector for a model simply has no list for it.
     """
+    single = len(models) == 1
     models = [m for m in models if f"vec_{m}" in queries.columns and m in vectors]
     if not models:
         raise ValueError("no vectors for the requested models")
@@ -150,7 +152,7 @@ def hybrid_search(
     fetch = size * C.FUSION_FETCH
 
     if keyword_ranked is None:
-        keyword_ranked = keyword_search(asked.select("query_id", "text"), index, fetch, fuzzy)
+        keyword_ranked = keyword_search(asked.select("query_id", "text"), index, fetch, fuzzy, with_total=single)
     keyword = keyword_ranked.join(settings, "query_id")
     if semantic_ranked is None:
         semantic_ranked = semantic_lists(asked, vectors, models, fetch, **(knn or {}))
@@ -159,7 +161,6 @@ def hybrid_search(
     balance = F.col("balance")
     k = scoring.dynamic_k(balance)
     keyword_weight, semantic_weight = scoring.balance_weights(balance)
-    single = len(models) == 1
     semantic_only, keyword_only = balance >= C.PURE_SEMANTIC_BALANCE, balance <= C.PURE_KEYWORD_BALANCE
     mixed = ~semantic_only & ~keyword_only if single else F.lit(True)
 
@@ -176,9 +177,10 @@ def hybrid_search(
         return fused
 
     def one_sided(ranked: DataFrame, condition: Column, source: str) -> DataFrame:
-        return ranked.where(condition & (F.col("rank") <= size)).select(
-            "query_id", "doc_id", "score", "rank", F.lit(None).cast("long").alias("total"), F.array(F.lit(source)).alias("sources")
-        )
+        own = ranked.where(condition & (F.col("rank") <= size))
+        if "total" not in own.columns:
+            own = add_total(own)
+        return own.select("query_id", "doc_id", "score", "rank", "total", F.array(F.lit(source)).alias("sources"))
 
     return fused.unionByName(one_sided(semantic[models[0]], semantic_only, models[0])).unionByName(
         one_sided(keyword, keyword_only, "keyword")
@@ -198,6 +200,8 @@ def multi_mode_search(
     ``tags(doc_id, tags)`` serves the queries made of emoji only.
     """
     options = options or SearchOptions()
+    if not options.include_descriptions:
+        index = index.without(C.DESCRIPTION_BOOSTS)
     queries = stage(_with_balance(queries, options.balance))
     columns = ["query_id", "doc_id", "score", "rank"]
     found: list[DataFrame] = []

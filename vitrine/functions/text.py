@@ -159,21 +159,29 @@ def emoji_sequence() -> str:
     return rf"{flag}|{keycap}|{element}{tags}(?:\x{{200D}}{element})*"
 
 
+# Where an emoji can start at all: settles most characters without a look at the long class.
+_MAYBE_EMOJI = r"(?=[0-9#*\xA9\xAE\x{203C}-\x{1FFFF}])"
+
+
+def _quick(pattern: str) -> str:
+    return f"{_MAYBE_EMOJI}(?:{pattern})"
+
+
 def emoji_points(text: Column) -> Column:
     """Every emoji code point of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(emoji_class()), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_quick(emoji_class())), F.lit(0))
 
 
 def is_emoji_only(text: Column) -> Column:
     """At least one emoji and nothing but white space besides."""
-    rest = F.regexp_replace(text, emoji_class(), "")
-    return F.coalesce(text.rlike(emoji_class()) & is_blank(rest), F.lit(False))
+    rest = F.regexp_replace(text, _quick(emoji_class()), "")
+    return F.coalesce(text.rlike(_quick(emoji_class())) & is_blank(rest), F.lit(False))
 
 
 def normalize_emoji_summary(text: Column) -> Column:
     """Whole emoji only, without commas and white space."""
     packed = F.regexp_replace(text, f",|{SPACE}", "")
-    return F.array_join(F.regexp_extract_all(packed, F.lit(emoji_sequence()), F.lit(0)), "")
+    return F.array_join(F.regexp_extract_all(packed, F.lit(_quick(emoji_sequence())), F.lit(0)), "")
 
 
 def matches_any(text: Column, literals: Sequence[str]) -> Column:

@@ -54,10 +54,14 @@ def field_terms(df: DataFrame, values: Sequence[tuple[SearchField, Column]], id_
 
 
 def wanted_terms(df: DataFrame, values: Sequence[tuple[SearchField, Column]], id_col: str) -> DataFrame:
-    """``query_id, field, query_term, repeats`` looked for by each row."""
+    """``query_id, field, query_term, repeats`` looked for by each row.
+
+    Dealt out by query once, so later groupings by query find their rows together.
+    """
     return (
         field_terms(df, values, id_col)
         .select(F.col(id_col).alias("query_id"), "field", F.explode("terms").alias("query_term"))
+        .repartition("query_id")
         .groupBy("query_id", "field", "query_term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )

@@ -61,4 +61,4 @@ def is_complete(*texts: Column) -> Column:
 
 
 def shows_people(emoji_summary: Column) -> Column:
-    return T.matches_any(emoji_summary, [*PERSON_EMOJI, *FACE_EMOJI])
+    return T.has_any_emoji(emoji_summary, [*PERSON_EMOJI, *FACE_EMOJI])

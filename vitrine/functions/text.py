@@ -184,8 +184,9 @@ def normalize_emoji_summary(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(packed, F.lit(_quick(emoji_sequence())), F.lit(0)), "")
 
 
-def matches_any(text: Column, literals: Sequence[str]) -> Column:
-    return F.coalesce(text.rlike("|".join(literals)), F.lit(False))
+def has_any_emoji(text: Column, emoji: Sequence[str]) -> Column:
+    """True where one of the given emoji occurs."""
+    return F.coalesce(text.rlike(_quick("|".join(emoji))), F.lit(False))
 
 
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:

@@ -302,6 +302,12 @@ def test_metadata_similarity(gallery):
     assert scores[2] > 5 * idf + 3 + 6.9
 
 
+def test_metadata_total(gallery):
+    items, clauses = gallery
+    got = similar_by_metadata(items, size=2, clauses=clauses, with_total=True)
+    assert {(r.query_id, r.total) for r in got.collect()} == {(1, 4), (2, 4), (4, 4)}
+
+
 def test_metadata_grid_equals_scan(gallery):
     items, clauses = gallery
     scan = ranks(similar_by_metadata(items, size=3, clauses=clauses))

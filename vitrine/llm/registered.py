@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, packing
+from vitrine.llm import bpe, langid, packing, simhash, stream_dedup, wordpiece
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trained(id_col: str = "doc_id"):
+    """True for the rows that models may learn from."""
+    return ~held_out(id_col)
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, keep=["doc_id"])
     return coded.select(
@@ -31,8 +45,37 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.where(trained()))
+    named = langid.identify(documents, model, keep=["doc_id"])
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(BYTE_VOCABULARY, encoding="utf-8") as file:
+        pieces = bpe.BpeModel(file.read()).pieces
+    return wordpiece.count_pieces(table(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_dedup.duplicates(spark, f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op8_language": op8_language,
+    "op9_token_counts": op9_token_counts,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op10_exact_dedup": """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY low)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(low) AS text_sha256
+FROM t JOIN g USING (low)""",
 }
-ORACLE: dict[str, str] = {}

@@ -96,7 +96,8 @@ class LatinCut:
     """Cut texts of Latin-1 letters finer: at every change of the kind of character, white space aside.
 
     ``lower``: in lower case. ``spaces``: white space begins the unit after it; else it is left out. ``digits``:
-    every digit is a unit. ``letters``: only units that begin with a letter. An apostrophe holds its neighbours.
+    every digit is a unit. ``letters``: only units that begin with a letter
+    or an apostrophe. An apostrophe holds its neighbours.
     """
 
     def __init__(self, lower: bool = False, spaces: bool = False, digits: bool = False, letters: bool = False):
@@ -122,7 +123,7 @@ class LatinCut:
         starts = np.flatnonzero(begins)
         lengths = np.diff(np.append(starts, len(data)))
         if not self.spaces:
-            wanted = kind[starts] == 1 if self.letters else kind[starts] != 0
+            wanted = np.isin(kind[starts], (1, 4)) if self.letters else kind[starts] != 0
             starts, lengths = starts[wanted], lengths[wanted]
         return data, starts, lengths
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, langid, packing, quality, simhash, stream_dedup, wordpiece
+from vitrine.llm import bpe, langid, line_chunks, packing, quality, simhash, stream_dedup, url_filter, winnow, wordpiece
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,23 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare_edited(table(spark, sf_dir, "documents"))
+    digest = lambda marks: F.md5(F.concat_ws(",", F.col(marks).cast("array<string>")).cast("binary"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("marks").alias("fingerprint"),
+        digest("edited_marks").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +69,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "removed_lines", "text")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.train(documents.where(trained()))
@@ -72,9 +94,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
+    "op3_winnowing": op3_winnowing,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,

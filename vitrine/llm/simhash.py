@@ -111,13 +111,14 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     small = lists.select("members").mapInArrow(compare, "a long, b long")
     # A large bucket: without any r of its other bits, fingerprints that are near each other become equal, and
-    # at most 2^r can do so.
+    # at most 2^r can do so. The masks are a table of fixed size.
     cleared = [
-        F.array(*[F.lit(_signed(((1 << BITS) - 1) ^ sum(1 << i for i in some))) for some in combinations([i for i in range(BITS) if not m >> i & 1], radius)])
-        for m in tables
+        (i, _signed(((1 << BITS) - 1) ^ sum(1 << bit for bit in some)))
+        for i, m in enumerate(tables)
+        for some in combinations([bit for bit in range(BITS) if not m >> bit & 1], radius)
     ]
-    by_table = F.create_map(*[x for i, c in enumerate(cleared) for x in (F.lit(i), c)])
-    large = shared.where(F.col("n") > BUCKET).withColumn("mask", F.explode(by_table[F.col("table")]))
+    rests = distinct.sparkSession.createDataFrame(pa.table({"table": pa.array([t for t, _ in cleared], pa.int32()), "mask": pa.array([m for _, m in cleared], pa.int64())}))
+    large = shared.where(F.col("n") > BUCKET).join(F.broadcast(rests), "table")
     groups = large.groupBy("mask", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("rest")).agg(F.collect_set("fingerprint").alias("members"))
     stars = groups.where("size(members) > 1").select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a <> b")
     return small.union(stars.select("a", "b"))
@@ -146,3 +147,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = stage(fingerprints(df.select(F.col(id_col), F.col(text_col)), text_col, shingle, [id_col]))
     return prints.join(near_groups(prints, id_col, radius), "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``df`` that stay when of each group of ``near_duplicates`` only the smallest id does.
+
+    Columns stay as they are. Rows without an id all stay; of rows that repeat an id one stays. Only the ids of rows
+    that go are joined with the texts.
+    """
+    found = stage(near_duplicates(df, id_col, text_col, shingle, radius))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    left = df.join(gone, id_col, "left_anti").select(*df.columns)
+    repeated = found.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col)
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return left.join(repeated, id_col, "left_anti").unionByName(once)

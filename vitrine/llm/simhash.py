@@ -25,6 +25,8 @@ from vitrine.session import ship_package, stage
 BITS = 64
 #: Distinct fingerprints of a bucket that are compared in one task; a larger bucket is divided by its other bits.
 BUCKET = 1024
+#: Beyond it the masks that divide large buckets would be too many.
+LARGEST_RADIUS = 3
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 15
 
@@ -88,6 +90,8 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
 
     Not all pairs are listed: a bucket gives one link per fingerprint, which connect the same ones.
     """
+    if not 0 <= radius <= LARGEST_RADIUS:
+        raise ValueError(f"the radius must be 0 to {LARGEST_RADIUS}")
     ship_package(distinct.sparkSession)
     tables = masks(radius)
     keys = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(_signed(m))) for m in tables])

@@ -22,8 +22,8 @@ from vitrine.session import ship_package, stage
 
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: Most words, and most n-grams of each order, that a model holds over all languages.
-CAPACITY = 200_000
+#: Most words that a model holds over all languages.
+CAPACITY = 100_000
 #: Distinct words that a counting task holds before it hands on its counts.
 _HELD = 300_000
 _SMOOTHING = 0.5
@@ -51,8 +51,8 @@ def gram_codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes.view(np.int64), counts
 
 
-def count_features(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """``lang``, ``kind`` (0: word, else the order), ``word`` or ``gram``, and their number ``n``."""
+def count_words(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """``lang``, ``word`` and their number ``n`` over all rows with a language."""
     ship_package(df.sparkSession)
     source = df.where(F.col(quoted(lang_col)).isNotNull()).select(
         F.col(quoted(lang_col)).cast("string").alias("lang"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")
@@ -81,13 +81,8 @@ def count_features(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, held in counts.items():
                 seen = np.flatnonzero(held)
-                some = [names[i] for i in seen.tolist()]
-                yield _rows(lang, 0, some, None, held[seen])
-                for order in ORDERS:
-                    codes, each = gram_codes(some, order)
-                    distinct, inverse = np.unique(codes, return_inverse=True)
-                    total = np.bincount(inverse, weights=np.repeat(held[seen], each), minlength=len(distinct)).astype(np.int64)
-                    yield _rows(lang, order, None, distinct, total)
+                words = pa.array([names[i] for i in seen.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), words, pa.array(held[seen])], names=["lang", "word", "n"])
             counts.clear()
             names.clear()
             number.clear()
@@ -110,64 +105,52 @@ def count_features(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    counted = source.mapInArrow(run, "lang string, kind int, word string, gram long, n long")
-    return counted.groupBy("lang", "kind", "word", "gram").agg(F.sum("n").alias("n"))
-
-
-def _rows(lang: str, kind: int, words: list[str] | None, grams: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    size = len(n)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * size, pa.string()), pa.array(np.full(size, kind, dtype=np.int32)),
-            pa.array(words, pa.string()) if words is not None else pa.nulls(size, pa.string()),
-            pa.array(grams, pa.int64()) if grams is not None else pa.nulls(size, pa.int64()), pa.array(n, pa.int64()),
-        ],
-        names=["lang", "kind", "word", "gram", "n"],
-    )
+    counted = source.mapInArrow(run, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", capacity: int = CAPACITY) -> dict:
-    """A model of all rows with a language: log frequencies of its most frequent words and n-grams.
+    """A model of all rows with a language: log frequencies of words, and of the n-grams of these words.
 
-    All rows are counted. At most ``capacity`` words and ``capacity`` n-grams of each order, the most frequent
-    ones, come to the driver, so the model's size is bounded whatever the table's.
+    The words of all rows are counted. At most ``capacity`` of them, the most frequent ones, come to the driver, so
+    the model's size is bounded whatever the table's.
     """
-    counts = stage(count_features(df, lang_col, text_col))
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()
+    counts = stage(count_words(df, lang_col, text_col))
     level = F.floor(F.log2("n") * 8).cast("int")
-    levels = counts.groupBy("kind", level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    wanted = F.lit(False)
-    for kind in sorted({r.kind for r in levels}):
-        least, held = None, 0
-        for r in sorted((r for r in levels if r.kind == kind), key=lambda r: -r.level):
-            held += r.rows
-            if held > capacity:
-                break
-            least = r.level
-        if least is not None:
-            wanted = wanted | ((F.col("kind") == kind) & (level >= least))
-    languages = sorted({r.lang for r in totals})
+    levels = counts.groupBy("lang", level.alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    languages = sorted({r.lang for r in levels})
+    least, held = None, 0
+    for one in sorted({r.level for r in levels}, reverse=True):
+        held += sum(r.rows for r in levels if r.level == one)
+        if held > capacity:
+            break
+        least = one
+    chosen = counts.where(F.lit(False) if least is None else level >= least).toArrow()
     column = {lang: i for i, lang in enumerate(languages)}
-    sizes = {(r.kind, r.lang): r.n for r in totals}
-    chosen = counts.where(wanted).toArrow().to_pydict()
-    model: dict = {"languages": languages, "words": {}, "grams": {}}
-    for kind in (0, *ORDERS):
-        rows = [i for i, k in enumerate(chosen["kind"]) if k == kind]
-        items = chosen["word" if kind == 0 else "gram"]
-        distinct = sorted({items[i] for i in rows})
-        place = {item: i for i, item in enumerate(distinct)}
-        table = np.zeros((len(distinct), len(languages)))
-        for i in rows:
-            table[place[items[i]], column[chosen["lang"][i]]] = chosen["n"][i]
-        total = np.array([sizes.get((kind, lang), 0) for lang in languages], dtype=np.float64)
-        scores = np.log((table + _SMOOTHING) / (total + _SMOOTHING * (len(distinct) + 1))).astype(np.float32)
-        if kind == 0:
-            model["words"], model["word_scores"] = distinct, scores
-        else:
-            model["grams"][kind] = np.array(distinct, dtype=np.int64), scores
+    langs = np.array([column[x] for x in chosen["lang"].to_pylist()], dtype=np.int64)
+    words = chosen["word"].to_pylist()
+    n = chosen["n"].to_numpy().astype(np.float64)
+    total = np.array([sum(r.n for r in levels if r.lang == lang) for lang in languages], dtype=np.float64)
+    distinct = sorted(set(words))
+    place = {w: i for i, w in enumerate(distinct)}
+    rows = np.array([place[w] for w in words], dtype=np.int64)
+    model: dict = {"languages": languages, "words": distinct, "word_scores": _logs(rows, langs, n, len(distinct), total), "grams": {}}
+    for order in ORDERS:
+        codes, each = gram_codes(words, order)
+        known, inverse = np.unique(codes, return_inverse=True)
+        weights, owners = np.repeat(n, each), np.repeat(langs, each)
+        sizes = np.bincount(owners, weights=weights, minlength=len(languages))
+        model["grams"][order] = known, _logs(inverse, owners, weights, len(known), sizes)
     return model
 
 
+def _logs(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
+    """Smoothed log frequency of each row in each language."""
+    width = len(total)
+    table = np.bincount(rows * width + columns, weights=n, minlength=size * width).reshape(size, width) if size else np.zeros((0, width))
+    return np.log((table + _SMOOTHING) / (total + _SMOOTHING * (size + 1))).astype(np.float32)
+
+
 class Scorer:
     """Log-likelihoods of texts by language."""
 

@@ -35,8 +35,9 @@ def model_vectors(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts, dealt out evenly: one file may arrive as a single partition."""
-    return table(spark, sf_dir, "documents").repartition(cores(spark), "doc_id")
+    """Texts; only a table that comes in fewer partitions than there are cores, such as one small file, is dealt out."""
+    texts = table(spark, sf_dir, "documents")
+    return texts if texts.rdd.getNumPartitions() >= cores(spark) else texts.repartition(cores(spark))
 
 
 DOCUMENT_FIELDS = [SearchField("text")]

@@ -148,9 +148,9 @@ def test_build_search_update(spark, folder, tmp_path):
         "moma": {"csv": str(folder / "second.csv"), "output": str(tmp_path / "none")},
     }
     out = str(tmp_path / "collection")
-    assert build_collections(spark, sources, out) == {"indexed": 4}
+    assert build_collections(spark, sources, out) == {"indexed": 4, "failed": 0}
     assert build_collections(spark, sources, out) == {"indexed": 0, "existing": True}
-    assert build_collections(spark, sources, out, force=True) == {"indexed": 4}
+    assert build_collections(spark, sources, out, force=True) == {"indexed": 4, "failed": 0}
     items = spark.read.parquet(f"{out}/items")
     assert {r.collection for r in items.select("collection").distinct().collect()} == {"met", "moma"}
     one = store.item_by_id(items, "met_1").first()
@@ -186,7 +186,7 @@ def test_build_search_update(spark, folder, tmp_path):
 
 def test_duplicate_items_are_loaded_once(spark, folder, tmp_path):
     items = registry.read_source(spark, "moma", csv=str(folder / "second.csv"))
-    assert store.load_items(items.unionByName(items), str(tmp_path / "items")) == {"indexed": 2}
+    assert store.load_items(items.unionByName(items), str(tmp_path / "items")) == {"indexed": 2, "failed": 0}
 
 
 def test_image_cache_rows_and_jsonl(spark, tmp_path):

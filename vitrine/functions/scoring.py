@@ -13,12 +13,6 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def saturation(tf: Column, length: Column, avg_length: Column) -> Column:
-    """Term-frequency part of BM25, including the (k1 + 1) factor."""
-    norm = F.lit(C.BM25_K1) * (F.lit(1 - C.BM25_B) + F.lit(C.BM25_B) * length / avg_length)
-    return F.lit(C.BM25_K1 + 1) * tf / (tf + norm)
-
-
 def dynamic_k(balance: Column) -> Column:
     """RRF constant: 60 at balance 0.5, falling to 20 at either end."""
     return F.lit(C.RRF_K_MIN) + (1 - F.abs(balance - 0.5) * 2) * F.lit(C.RRF_K_RANGE)

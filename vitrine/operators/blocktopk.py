@@ -33,7 +33,6 @@ MAX_QUERY_BYTES = 128 << 20
 CELLS_AT_ONCE = 500_000
 CORPUS_BLOCK = 50_000
 QUERY_BLOCK = 16_384
-MAX_TASKS = 20_000
 # Scores this close may round to the same value.
 _SLACK = 2 * 10.0**-C.SCORE_DIGITS
 
@@ -220,7 +219,7 @@ def grid_topk(
     cell = [*keys, "_c", "_q"]
     if not keys:
         # A fixed number of partitions, as little data may still be much work.
-        tasks = min(max(2 * query_parts * corpus_parts, cores), MAX_TASKS)
+        tasks = max(2 * query_parts * corpus_parts, cores)
         corpus, queries = corpus.repartition(tasks, *cell), queries.repartition(tasks, *cell)
     return (
         corpus.groupBy(*cell)
@@ -243,6 +242,14 @@ def _split(df: DataFrame, id_col: str, keys: Sequence[str], block: int, out: str
     return own.drop(parts_col), parts
 
 
+def _is_small(queries: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """True if the query table may go to the driver: its rows and bytes are counted on the executors first."""
+    head = queries.limit(max_rows + 1)
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))  # more than the columns take
+    rows, taken = head.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return rows <= max_rows and taken <= max_bytes
+
+
 def dense_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -257,13 +264,13 @@ def dense_topk(
 ) -> DataFrame:
     """Best ``k`` documents per query: ``query_id, doc_id, score, rank``.
 
-    ``with_total`` adds the number of all matching documents.  ``spread`` re-deals a corpus that comes in fewer partitions than there are cores.
+    ``with_total`` adds the number of all matching documents.  ``spread`` re-deals
+    a corpus that comes in fewer partitions.
     """
     ship_package(corpus.sparkSession)
-    head = queries.limit(max_query_rows + 1).toArrow()
-    if head.num_rows <= max_query_rows and head.nbytes <= max_query_bytes:
-        shared = queries.sparkSession.sparkContext.broadcast(head)
-        if spread:
+    if _is_small(queries, max_query_rows, max_query_bytes):
+        shared = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+        if spread and corpus.rdd.getNumPartitions() < spread:
             corpus = corpus.repartition(spread, "doc_id")
         partial = corpus.mapInArrow(_scan(shared, scorer, k, exclude_self), _result_schema(corpus, queries))
     else:

@@ -18,17 +18,21 @@ def keyword_search(
     size: int = C.DEFAULT_SIZE,
     fuzzy: bool = True,
     with_total: bool = False,
+    max_expansions: int | None = C.MAX_EXPANSIONS,
     **options,
 ) -> DataFrame:
     """Ranked list ``query_id, doc_id, score, rank`` (and ``total`` matches).
 
-    ``queries(query_id, text)``; equal texts are searched once.  Documents are scored
-    where they lie, only the best of each task are shuffled.
+    ``queries(query_id, text)``; equal texts are searched once, under the least of their ids,
+    so no text rides along with the candidates.  Documents are scored where they lie, only the
+    best of each task are shuffled.  ``max_expansions`` bounds the words near a query word
+    (None: all of them).
     """
-    texts = queries.select("text").distinct()
+    texts = queries.groupBy("text").agg(F.min("query_id").alias("search_id"))
     values = [(f, F.col("text")) for f in index.fields]
-    wanted = wanted_terms(texts, values, "text")
-    features = stage(weighted_features(wanted, index, [f.name for f in index.fields] if fuzzy else []))
+    wanted = wanted_terms(texts, values, "search_id")
+    near = [f.name for f in index.fields] if fuzzy else []
+    features = stage(weighted_features(wanted, index, near, max_expansions))
     ranked = dense_topk(
         candidate_terms(index, features),
         features,
@@ -38,5 +42,5 @@ def keyword_search(
         **options,
     )
     columns = ["query_id", "doc_id", "score", "rank", *(["total"] if with_total else [])]
-    asked = queries.select("query_id", "text")
-    return asked.join(ranked.withColumnRenamed("query_id", "text"), "text").select(*columns)
+    asked = queries.select("query_id", "text").join(texts, "text")
+    return asked.join(ranked.withColumnRenamed("query_id", "search_id"), "search_id").select(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import text
+from vitrine.operators.ranking import latest_per_key
 
 
 def attach_vectors(items: DataFrame, vectors: Mapping[str, DataFrame]) -> DataFrame:
@@ -62,11 +63,14 @@ def covered(items: DataFrame, present: DataFrame, key: str = "doc_id") -> DataFr
     return items.join(present.select(key), key, "left_semi")
 
 
-def update_matched(target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def update_matched(
+    target: DataFrame, updates: DataFrame, key: str, fields: Sequence[str], newest: Sequence[Column] = ()
+) -> DataFrame:
     """Replace ``fields`` where an update has the key; never adds rows.
 
-    ``updates`` holds one row per key, as ``latest_per_key`` leaves it.
+    Of several updates of a key one counts: the first by ``newest``, then the one with the largest values.
     """
+    updates = latest_per_key(updates, [key], [*newest, *[F.desc(F.to_json(F.struct(f))) for f in fields]])
     new = updates.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
     joined = target.join(new, key, "left")
     values: list[Column] = [

@@ -137,13 +137,25 @@ def swap_distance(left: pd.Series, right: pd.Series) -> pd.Series:
 swap_distance = swap_distance.asNondeterministic()
 
 
-def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int = C.MAX_EXPANSIONS) -> DataFrame:
+def _counted_edits(near: DataFrame) -> DataFrame:
+    """``edits`` of the pairs within budget.
+
+    A swap is at most two plain edits, so pairs beyond twice the budget are out, and up to one plain edit both
+    counts agree; only the rest goes to Python.
+    """
+    settled = near.where(F.col("plain").between(0, 1)).withColumn("edits", F.col("plain"))
+    between = near.where((F.col("plain") >= 2) & (F.col("plain") <= 2 * F.col("budget")))
+    counted = between.withColumn("edits", swap_distance("query_term", "term"))
+    return settled.unionByName(counted).where(F.col("edits") <= F.col("budget")).drop("plain")
+
+
+def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int | None = C.MAX_EXPANSIONS) -> DataFrame:
     """Vocabulary terms near each wanted term.
 
     ``wanted(field, query_term)``, ``vocabulary(field, term, df)`` →
     ``field, query_term, term, edits, similarity, df``.  ``df`` is the largest of the
     expansions of a query term, so a rare misspelling does not outscore the word
-    itself.  The 50 nearest terms are kept, as the search server documents it.
+    itself.  The 50 nearest terms are kept, as the search server documents it, or all with None.
     """
     ship_package(wanted.sparkSession)
     budget = edit_budget(F.col("query_term"))
@@ -156,18 +168,16 @@ def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int =
         .where(F.abs(F.char_length("query_term") - F.char_length("term")) <= F.col("budget"))
         .select("field", "query_term", "budget", "term", "df")
         .distinct()
-        .withColumn(
-            "edits",
-            F.when(F.col("query_term") == F.col("term"), 0).otherwise(swap_distance("query_term", "term")),
-        )
-        .where(F.col("edits") <= F.col("budget"))
+        .withColumn("plain", F.levenshtein("query_term", "term", 2 * _MOST_EDITS))
     )
+    near = _counted_edits(near)
     shorter = F.least(F.char_length("query_term"), F.char_length("term"))
     near = near.withColumn("similarity", 1 - F.col("edits") / shorter).where("similarity > 0")
     per_term = Window.partitionBy("field", "query_term")
-    kept = near.withColumn(
-        "_n", F.row_number().over(per_term.orderBy(F.desc("similarity"), "term"))
-    ).where(F.col("_n") <= max_expansions)
+    kept = near
+    if max_expansions is not None:
+        nearest = per_term.orderBy(F.desc("similarity"), "term")
+        kept = near.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= max_expansions)
     return kept.withColumn("df", F.max("df").over(per_term)).select(
         "field", "query_term", "term", "edits", "similarity", "df"
     )

@@ -13,6 +13,8 @@ def top_n(df: DataFrame, n: int, keys: Sequence[str] = ("query_id",), score: str
 
     A literal bound on ``row_number`` lets Spark cut each map task to ``n`` rows per
     key before the shuffle, so a key that matches a third of the corpus stays small.
+    Spark does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows, which
+    ``build_session`` raises from its default of 1,000.
     """
     order = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

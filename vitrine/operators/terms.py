@@ -12,12 +12,10 @@ from vitrine import constants as C
 from vitrine.functions import text
 from vitrine.functions.scoring import idf
 from vitrine.operators.fuzzy import expand_terms
-from vitrine.session import fits, stage
+from vitrine.session import stage
 
-# Most distinct query terms sent to every task; beyond it the join shuffles.
-BROADCAST_TERMS = 1_000_000
-# Most distinct query terms named in a pushed-down filter.
-FILTER_TERMS = 2_000
+# Most bytes of distinct query terms named in a pushed-down filter, which spares row groups; the join decides either way.
+FILTER_BYTES = 64 << 10
 
 
 @dataclass(frozen=True)
@@ -105,6 +103,10 @@ class TextIndex:
         """The same index, some fields not being searched."""
         return replace(self, fields=tuple(f for f in self.fields if f.name not in names))
 
+    def doc_id_type(self) -> str:
+        held = self.corpus if self.postings is None else self.postings
+        return held.schema["doc_id"].dataType.simpleString()
+
     def all_postings(self) -> DataFrame:
         if self.postings is not None:
             return self.postings
@@ -132,7 +134,9 @@ class TextIndex:
         )
 
 
-def weighted_features(wanted: DataFrame, index: TextIndex, fuzzy_fields: Collection[str]) -> DataFrame:
+def weighted_features(
+    wanted: DataFrame, index: TextIndex, fuzzy_fields: Collection[str], max_expansions: int | None = C.MAX_EXPANSIONS
+) -> DataFrame:
     """``query_id, features``: per matching term, what it is worth to the query.
 
     A repeated query word counts as often as it occurs.
@@ -144,7 +148,7 @@ def weighted_features(wanted: DataFrame, index: TextIndex, fuzzy_fields: Collect
     )
     if fuzzy:
         distinct = wanted.where(F.col("field").isin(fuzzy)).select("field", "query_term").distinct()
-        near = expand_terms(distinct, index.vocabulary.where(F.col("field").isin(fuzzy)))
+        near = expand_terms(distinct, index.vocabulary.where(F.col("field").isin(fuzzy)), max_expansions)
         found = found.unionByName(near.drop("edits"))
     boosts = F.create_map(*[F.lit(x) for f in index.fields for x in (f.name, f.boost)])
     weight = boosts[F.col("field")] * idf(F.col("n_docs"), F.col("df")) * F.col("similarity") * F.col("repeats")
@@ -168,11 +172,10 @@ def candidate_terms(index: TextIndex, features: DataFrame) -> DataFrame:
         return index.corpus.select("doc_id", *[c for f in index.fields for c in _corpus_columns(f)])
     wanted = stage(features.select(F.inline("features")).select("field", "term").distinct())
     postings = index.postings
-    if fits(wanted, FILTER_TERMS):
-        names = [row.term for row in wanted.select("term").distinct().collect()]
-        postings = postings.where(F.col("term").isin(names))
-    if fits(wanted, BROADCAST_TERMS):
-        wanted = F.broadcast(wanted)
+    names = wanted.select("term").distinct()
+    size = names.agg(F.sum(F.octet_length("term") + F.lit(16))).first()[0]
+    if size is not None and size <= FILTER_BYTES:
+        postings = postings.where(F.col("term").isin([row.term for row in names.collect()]))
     matched = postings.join(wanted, ["field", "term"], "left_semi")
     gathered = []
     for f in index.fields:

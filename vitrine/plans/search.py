@@ -131,6 +131,7 @@ def hybrid_search(
     keyword_ranked: DataFrame | None = None,
     semantic_ranked: Mapping[str, DataFrame] | None = None,
     knn: Mapping | None = None,
+    max_expansions: int | None = C.MAX_EXPANSIONS,
 ) -> DataFrame:
     """Keyword and vector lists of each query, fused by its balance.
 
@@ -140,8 +141,11 @@ def hybrid_search(
     """
     single = len(models) == 1
     models = [m for m in models if f"vec_{m}" in queries.columns and m in vectors]
-    if not models:
-        raise ValueError("no vectors for the requested models")
+    if not models:  # nothing to fuse with: no hits, as for a query without a vector
+        ids = queries.schema["query_id"].dataType.simpleString()
+        docs = index.doc_id_type()
+        none = f"query_id {ids}, doc_id {docs}, score double, rank int, total long, sources array<string>"
+        return queries.sparkSession.createDataFrame([], none)
     queries = _with_balance(queries)
     have = [F.col(f"vec_{m}").isNotNull() for m in models]
     available = sum((h.cast("int") for h in have[1:]), have[0].cast("int"))
@@ -152,7 +156,9 @@ def hybrid_search(
     fetch = size * C.FUSION_FETCH
 
     if keyword_ranked is None:
-        keyword_ranked = keyword_search(asked.select("query_id", "text"), index, fetch, fuzzy, with_total=single)
+        keyword_ranked = keyword_search(
+            asked.select("query_id", "text"), index, fetch, fuzzy, with_total=single, max_expansions=max_expansions
+        )
     keyword = keyword_ranked.join(settings, "query_id")
     if semantic_ranked is None:
         semantic_ranked = semantic_lists(asked, vectors, models, fetch, **(knn or {}))
@@ -194,6 +200,7 @@ def multi_mode_search(
     options: SearchOptions | None = None,
     tags: DataFrame | None = None,
     fuzzy: bool = True,
+    max_expansions: int | None = C.MAX_EXPANSIONS,
 ) -> DataFrame:
     """Keyword (or tag), each model and hybrid results side by side: ``query_id, mode, doc_id, score, rank``.
 
@@ -208,7 +215,7 @@ def multi_mode_search(
     selected = [m for m in options.models if m in vectors and f"vec_{m}" in queries.columns]
     to_tags = route(F.col("text"), options.route_emoji and tags is not None) == "tags"
     words = keyword_search(
-        queries.select("query_id", "text"), index, options.size * C.FUSION_FETCH, fuzzy
+        queries.select("query_id", "text"), index, options.size * C.FUSION_FETCH, fuzzy, max_expansions=max_expansions
     )
     if options.keyword:
         plain = words.join(queries.where(~to_tags).select("query_id"), "query_id", "left_semi")

@@ -18,6 +18,8 @@ def build_session(app_name: str = "vitrine", master: str | None = None, shuffle_
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Ranked lists are cut in the map tasks up to this length.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
         # Long texts travel to Python tasks in batches of this many rows.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     )
@@ -66,8 +68,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fits(staged: DataFrame, max_rows: int) -> bool:
-    """True if a staged table (row counts come from file footers) may be broadcast."""
-    return staged.count() <= max_rows

@@ -25,11 +25,11 @@ def read_catalogue(spark: SparkSession, path: str, schema: T.StructType, multi_l
     return raw.select(*wanted)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None, time: str | None = "timestamp") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None, time: str | None = None) -> DataFrame:
     """JSON-lines records; bad lines are skipped, a missing path is an empty table.
 
-    With ``key`` the last record of each key is kept: the newest, then the one further
-    down in the files.
+    With ``key`` the last record of each key is kept: the one furthest down in the newest
+    file, whatever its stamp.  With ``time`` the newest stamp comes first.
     """
     try:
         raw = spark.read.schema(schema).json(path, mode="DROPMALFORMED")

@@ -52,7 +52,7 @@ def read_source(spark: SparkSession, collection_id: str, **options) -> DataFrame
 
 
 def _read_first(spark: SparkSession, csv: str, image_cache: str, limit: int | None = None) -> DataFrame:
-    cache = read_jsonl(spark, image_cache, schemas.IMAGE_CACHE_RECORD, "object_id", "fetched_at")
+    cache = read_jsonl(spark, image_cache, schemas.IMAGE_CACHE_RECORD, "object_id")
     return normalize_source1(read_catalogue(spark, csv, schemas.SOURCE1_CSV), cache, limit)
 
 

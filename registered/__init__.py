@@ -6,6 +6,7 @@ from registered import (
     hybrid_queries,
     keyword_queries,
     similarity_queries,
+    storage_queries,
     text_queries,
     vector_queries,
 )
@@ -18,4 +19,5 @@ MODULES = (
     text_queries,
     enrich_queries,
     catalogue_queries,
+    storage_queries,
 )

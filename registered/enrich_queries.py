@@ -125,7 +125,7 @@ def _log(spark, sf_dir):
 
 def _cache(spark, sf_dir):
     """Vectors of conversations by number, stamped by the event of that number."""
-    turns = R.table(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.col("turn") <= 1))
+    turns = R.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     stamps = R.table(spark, sf_dir, "events").groupBy((F.col("user_id")).alias("conv_id")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     vectors = R.vectors(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), "vec")
     spread = F.expr("timestampadd(DAY, -CAST(conv_id % 15 AS INT), TIMESTAMP '2024-01-20 11:30:00')")
@@ -153,16 +153,16 @@ def queries_to_embed(spark, sf_dir):
 
 def query_cache_after_use(spark, sf_dir):
     now = F.lit(NOW).cast("timestamp")
-    used = _log(spark, sf_dir).where(F.col("turn") == 0)
-    return query_cache.after_use(_cache(spark, sf_dir), used, now).select("cache_key", "ts")
+    return query_cache.after_use(_cache(spark, sf_dir), _log(spark, sf_dir), now).select("cache_key", "ts")
 
 
 def embed_job(spark, sf_dir):
-    """Status and size of the vectors of every document; blank ones are skipped."""
-    docs = R.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("artwork_id"), F.when(F.col("lang") == "de", F.lit("  ")).otherwise(F.col("text")).alias("text")
-    )
-    return jobs.embed(docs, jobs.hashing_embedder(64), "hashing", dims=48).select("artwork_id", "model", "dimension", "status")
+    """Status, size and length of the vectors of every document and of a blank one beside each."""
+    docs = R.documents(spark, sf_dir).select(F.col("doc_id").alias("artwork_id"), "text")
+    both = docs.unionByName(docs.select((-1 - F.col("artwork_id")).alias("artwork_id"), F.lit("  ").alias("text")))
+    done = jobs.embed(both, jobs.hashing_embedder(64), "hashing")
+    length = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)), 4)
+    return done.select("artwork_id", "model", "dimension", "status", length.alias("norm"))
 
 
 def embed_counts(spark, sf_dir):
@@ -212,7 +212,7 @@ entries AS (
   SELECT {_key('text')} AS cache_key, len(embedding) AS dims,
          least(TIMESTAMP '2024-01-20 11:30:00' - to_days(CAST(t.conv_id % 15 AS INT)),
                coalesce(last, TIMESTAMP '2024-01-20 11:30:00' - to_days(CAST(t.conv_id % 15 AS INT)))) AS ts
-  FROM turns t JOIN embeddings e ON e.vec_id = t.conv_id LEFT JOIN stamps s ON s.conv_id = t.conv_id WHERE turn <= 1),
+  FROM turns t JOIN embeddings e ON e.vec_id = t.conv_id LEFT JOIN stamps s ON s.conv_id = t.conv_id),
 cache AS (SELECT cache_key, max(ts) AS ts, any_value(dims) AS dims FROM entries GROUP BY cache_key),
 live AS (SELECT * FROM cache WHERE epoch(TIMESTAMP '{NOW}') - epoch(ts) < 604800)"""
 
@@ -271,12 +271,12 @@ SELECT k AS cache_key, min(text) AS text FROM (SELECT text, {_key('text')} AS k
 WHERE k NOT IN (SELECT cache_key FROM live) GROUP BY k""",
     "query_cache_after_use": f"""
 WITH {_LOG}, {_CACHE}
-SELECT cache_key, CASE WHEN cache_key IN (SELECT {_key('text')} FROM log WHERE turn = 0)
+SELECT cache_key, CASE WHEN cache_key IN (SELECT {_key('text')} FROM log)
                         AND epoch(TIMESTAMP '{NOW}') - epoch(ts) > 3600 THEN TIMESTAMP '{NOW}' ELSE ts END AS ts
 FROM live""",
     "embed_job": """
-SELECT doc_id AS artwork_id, 'hashing' AS model, CASE WHEN lang <> 'de' THEN 48::INT END AS dimension,
-       CASE WHEN lang = 'de' THEN 'skipped' ELSE 'processed' END AS status FROM documents""",
+SELECT doc_id AS artwork_id, 'hashing' AS model, 64::INT AS dimension, 'processed' AS status, 1.0::DOUBLE AS norm FROM documents
+UNION ALL SELECT -1 - doc_id, 'hashing', NULL, 'skipped', NULL FROM documents""",
     "embed_counts": """
-SELECT count(*) FILTER (WHERE lang <> 'de') AS processed, count(*) FILTER (WHERE lang = 'de') AS skipped, 0::BIGINT AS failed FROM documents""",
+SELECT count(*) AS processed, count(*) AS skipped, 0::BIGINT AS failed FROM documents""",
 }

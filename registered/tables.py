@@ -57,6 +57,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("medium"),
         F.col("p_type").alias("classification"),
         F.col("p_brand").alias("department"),
+        F.substring_index("p_name", " ", 1).alias("culture"),
+        F.concat(F.lit("N"), F.pmod(F.col("p_partkey"), F.lit(25))).alias("artistNationality"),
+        F.concat(F.col("p_type"), F.lit(" "), F.pmod(F.col("p_size"), F.lit(5))).alias("period"),
+        F.concat(F.lit("D"), F.pmod(F.col("p_size"), F.lit(4))).alias("dynasty"),
         (F.lit(1900) + F.col("p_size")).alias("dateBegin"),
         (F.lit(1900) + F.col("p_size") + F.pmod(F.col("p_partkey"), F.lit(8)).cast("int")).alias("dateEnd"),
         F.col("p_retailprice").alias("width"),
@@ -67,7 +71,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """
 items AS (
   SELECT p_partkey AS doc_id, p_name AS title, p_brand AS artist, p_name AS medium,
-         p_type AS classification, p_brand AS department,
+         p_type AS classification, p_brand AS department, split_part(p_name, ' ', 1) AS culture,
+         'N' || (p_partkey % 25) AS artistNationality, p_type || ' ' || (p_size % 5) AS period, 'D' || (p_size % 4) AS dynasty,
          1900 + p_size AS dateBegin, 1900 + p_size + CAST(p_partkey % 8 AS INT) AS dateEnd,
          p_retailprice AS width, CAST(p_size AS DOUBLE) AS height
   FROM part)"""
@@ -80,7 +85,14 @@ ITEM_FIELDS = [
 ]
 ITEM_CLAUSES = Clauses(
     text=(SearchField("artist", 10.0), SearchField("medium", 6.0)),
-    exact=(SearchField("classification", 5.0, exact=True), SearchField("department", 4.0, exact=True)),
+    exact=(
+        SearchField("classification", 5.0, exact=True),
+        SearchField("department", 4.0, exact=True),
+        SearchField("culture", 3.0, exact=True),
+        SearchField("artistNationality", 2.0, exact=True),
+        SearchField("period", 4.0, exact=True),
+        SearchField("dynasty", 3.0, exact=True),
+    ),
 )
 
 

@@ -54,7 +54,8 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row, copy, chunks = "__row_id", "__row_hash", "__chunks"
     own = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     cut = with_chunks(df.select(F.col(quoted(id_col)).alias(row), own.alias("__text")), "__text", chunks)
-    places = cut.select(row, F.xxhash64("__text").alias(copy), F.posexplode(chunks).alias("place", "chunk"))
+    # There is always a chunk; the outer form keeps the planner from testing that by cutting the text once more.
+    places = cut.select(row, F.xxhash64("__text").alias(copy), F.posexplode_outer(chunks).alias("place", "chunk"))
     places = places.where(F.col("chunk.n_lines") >= least_lines).select(
         row, copy, "place", F.col("chunk.text").alias("chunk"), F.xxhash64("chunk.text").alias("hash")
     )

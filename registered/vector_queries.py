@@ -8,6 +8,10 @@ from registered import tables as R
 from vitrine import constants as C
 from vitrine.functions import vectors as V
 from vitrine.operators.knn import semantic_search, similar_by_vector
+from vitrine.operators.lsh import approximate_search, recall
+
+#: Share of the exact ten neighbours that the approximate search must find.
+LEAST_RECALL = 0.9
 
 
 def knn_topk(spark, sf_dir):
@@ -31,6 +35,21 @@ def knn_grid(spark, sf_dir):
     return similar_by_vector(R.vectors(spark, sf_dir), size=10, max_query_rows=0)
 
 
+def knn_lsh_quality(spark, sf_dir):
+    """Approximate neighbours against exact ones: no score differs, none is the query itself, and recall holds."""
+    vectors = R.vectors(spark, sf_dir)
+    near = approximate_search(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 10, exclude_self=True)
+    exact = similar_by_vector(vectors, size=10, spread=R.cores(spark))
+    whole = similar_by_vector(vectors, size=1_000, spread=R.cores(spark)).select("query_id", "doc_id", F.col("score").alias("exact"))
+    hits = near.join(whole, ["query_id", "doc_id"], "left")
+    checks = hits.agg(
+        F.count_if(F.col("exact").isNotNull() & (F.abs(F.col("score") - F.col("exact")) > 1e-6)).alias("wrong_scores"),
+        F.count_if(F.col("query_id") == F.col("doc_id")).alias("own"),
+    )
+    good = recall(near, exact).select((F.col("recall") >= LEAST_RECALL).alias("good_recall"))
+    return checks.join(vectors.agg(F.count(F.lit(1)).alias("vectors"))).join(good)
+
+
 def vector_norms(spark, sf_dir):
     return R.vectors(spark, sf_dir).select(
         "doc_id",
@@ -51,6 +70,7 @@ QUERIES = {
     "knn_threshold": knn_threshold,
     "similar_by_vector": similar_vectors,
     "knn_grid": knn_grid,
+    "knn_lsh_quality": knn_lsh_quality,
     "vector_norms": vector_norms,
     "lookup_by_id": lookup_by_id,
 }
@@ -70,6 +90,7 @@ SELECT query_id, doc_id, score, rank FROM (
 WHERE rank <= {size}"""
 
 ORACLE = {
+    "knn_lsh_quality": "SELECT 0::BIGINT AS wrong_scores, 0::BIGINT AS own, count(*) AS vectors, true AS good_recall FROM embeddings",
     "knn_topk": _BENCHMARK.format(score=R.cosine_sql("q.embedding", "d.embedding"), size=10),
     "knn_threshold": _BENCHMARK.format(
         score=R.cosine_sql("q.embedding[1:32]", "d.embedding[1:32]"), size=20

@@ -17,6 +17,7 @@ from vitrine.functions.vectors import has_direction, normalize
 from vitrine.operators.blocktopk import grid_topk
 from vitrine.operators.knn import CosineScorer
 from vitrine.operators.ranking import top_n
+from vitrine.session import stage
 
 
 def _hashed(df: DataFrame, model, id_col: str, joint: int, tables: int) -> DataFrame:
@@ -58,8 +59,9 @@ def approximate_search(
     documents, wanted = unit(corpus, "doc_id"), unit(queries, "query_id")
     model = lsh.fit(documents)
     cells = grid_topk(
-        _hashed(documents, model, "doc_id", joint, tables),
-        _hashed(wanted, model, "query_id", joint, tables),
+        # Read for the sizes of the buckets, the split of large ones and the rows themselves.
+        stage(_hashed(documents, model, "doc_id", joint, tables)),
+        stage(_hashed(wanted, model, "query_id", joint, tables)),
         CosineScorer(),
         size,
         keys=["hash_table", "bucket"],

@@ -109,7 +109,9 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     own = df.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text"))
     links = predecessors(own.select("__id", F.char_length("__text").alias("__n")), "__id", "__n")
-    following = own.join(links, "__id").groupBy("__id").agg(
+    # Both joins read the same shuffle of the texts: rows without an id, which neither needs, go another way.
+    named, nameless = own.where(F.col("__id").isNotNull()), own.where(F.col("__id").isNull())
+    following = named.join(links, "__id").groupBy("__id").agg(
         F.min("__text").alias("__text"), F.first("prev_id").alias("__prev"), F.first("prev_size").alias("__size")
     )
     following = hashed(with_marks(following, "__text", "__next_marks"), "__next_marks").select(
@@ -117,7 +119,8 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.substring(F.col("__text"), F.lit(1), F.floor(F.col("__size") / 4).cast("int")).alias("__head"),
         F.col("__next_marks").alias("__next"),
     )
-    rows = own.join(following, "__id", "left").withColumn("n_chars", F.char_length("__text").cast("long"))
+    rows = named.join(following, "__id", "left").unionByName(nameless, allowMissingColumns=True)
+    rows = rows.withColumn("n_chars", F.char_length("__text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.substring(F.col("__text"), F.lit(1), F.col("n_chars").cast("int") - cut)
     rows = rows.withColumn("edited", F.concat(kept, F.substring(F.coalesce("__head", F.lit("")), F.lit(1), cut)))

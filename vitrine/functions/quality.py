@@ -29,6 +29,7 @@ FACE_EMOJI = (
     "😞 😓 😩 😫 🥱 😤 😡 😠 🤬 😈 👿 💀 ☠️ 💩 🤡 👹 👺 👻 👽 👾 🤖 😺 😸 😹 😻 😼 😽 🙀 😿 😾"
 ).split()
 
+# The patterns mean a boundary of ASCII words, which Java's own word boundary is not.
 _WORD_START = r"(?<![A-Za-z0-9_])"
 _WORD_END = r"(?![A-Za-z0-9_])"
 

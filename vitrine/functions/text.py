@@ -51,6 +51,7 @@ def is_true(col: Column) -> Column:
 
 def extract_years(date: Column) -> tuple[Column, Column]:
     """(begin, end): both ends of ``1950-1960``, else the first four digits twice."""
+    # The year patterns.
     span = r"(\d{4})[–-](\d{4})"
     first = F.regexp_extract(date, span, 1)
     last = F.regexp_extract(date, span, 2)
@@ -67,6 +68,7 @@ def clean_dimensions(text: Column) -> Column:
 
 def parse_dimensions(text: Column) -> Column:
     """Struct of height, width, depth and diameter read from free text."""
+    # The number and size patterns.
     number = r"(\d+(?:\.\d+)?)"
     by = rf"{SPACE}*[x×]{SPACE}*"
     sizes = rf"{number}{by}{number}{SPACE}*(?:[x×]{SPACE}*{number})?"

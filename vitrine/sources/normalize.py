@@ -182,6 +182,7 @@ def _item(rows: DataFrame, metadata: Column, url: Column, thumbnail: Column) ->
 
 
 # Label -> raw column, in the order in which the text to embed names them.
+# Label and column of each part of a text, in order.
 SOURCE1_LABELS = (
     ("Title", "Title"),
     ("Artist", "Artist Display Name"),

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.terms import TextIndex, default_fields
 from vitrine.plans import jobs, query_cache
 from vitrine.plans.build import build_collections, coverage_report, read_model_output
+from vitrine.session import drop_staged, stage
 from vitrine.sources import files, normalize, registry, store
 from vitrine.streaming.ingest import compact, ingest_records, read_ingested
 from vitrine.streaming.query_keys import first_in_week
@@ -249,6 +251,20 @@ def test_describe_job(spark):
     assert tuple(counts) == (1, 0, 2, 1)
 
 
+def test_staged_tables_can_be_dropped(spark):
+    kept = stage(spark.range(3))
+    folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    assert drop_staged(spark) > 0 and not os.path.exists(folder) and drop_staged(spark) == 0
+
+
+def test_repeated_updates_add_no_rows(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    updates = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "doc_id long, source string")
+    got = enrich.update_matched(target, updates, "doc_id", ["source"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "y"), (2, "b")]
+
+
 def test_resume_by_anti_join(spark):
     rows = spark.createDataFrame([(i,) for i in range(10)], "artwork_id long")
     done = rows.where("artwork_id IN (0, 3)")

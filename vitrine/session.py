@@ -10,6 +10,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that ``stage`` has written.
+_STAGED: list[str] = []
+
+
 def build_session(app_name: str = "vitrine", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC time."""
     builder = (
@@ -67,4 +71,15 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables staged so far, once the results that read them are done; gives their number."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return dropped

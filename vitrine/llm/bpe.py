@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import append_columns
+from vitrine.llm.columns import append_columns, held_in_worker
 from vitrine.llm.units import LatinCut, MixedTexts, UnitCache, ragged, sums, whole_texts
 
 # The pattern that splits text before the merges, with the white space of Unicode spelled out.
@@ -218,16 +218,14 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-_MODELS: dict[int, tuple[Encoder, Decoder]] = {}
-
-
 def coders(key: int, text: str) -> tuple[Encoder, Decoder]:
     """Encoder and decoder of a vocabulary, built once per worker."""
-    if key not in _MODELS:
-        _MODELS.clear()
+
+    def build() -> tuple[Encoder, Decoder]:
         model = BpeModel(text)
-        _MODELS[key] = Encoder(model), Decoder(model)
-    return _MODELS[key]
+        return Encoder(model), Decoder(model)
+
+    return held_in_worker(("bpe", key), build)
 
 
 def encode_decode(df: DataFrame, vocabulary: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

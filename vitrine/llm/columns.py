@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,21 @@ SLICE_BYTES = 6 << 20
 _TEXT = "__llm_text"
 
 
+_HELD: dict[object, object] = {}
+
+
+def held_in_worker(key: object, build: Callable[[], object]):
+    """What ``build`` gives, kept in the Python worker for later tasks with the same key.
+
+    A worker outlives a job and serves all operators, so only the last one's is kept.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

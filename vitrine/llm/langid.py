@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import append_columns, quoted, slices
+from vitrine.llm.columns import append_columns, held_in_worker, quoted, slices
 from vitrine.llm.units import LatinCut, MixedTexts, UnitCache, sums
 from vitrine.session import ship_package, stage
 
@@ -200,9 +200,6 @@ class Scorer:
         return [self.languages[b] if w else UNKNOWN for b, w in zip(best.tolist(), words.tolist())], score
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(df: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1) of each whole text.
 
@@ -215,10 +212,7 @@ def identify(df: DataFrame, model: dict, text_col: str = "text", keep: list[str]
     key = uuid.uuid4().hex
 
     def make():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        score = _SCORERS[key]
+        score = held_in_worker(key, lambda: Scorer(shared.value))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             langs, scores = score(texts)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import append_columns, quoted, slices
+from vitrine.llm.columns import append_columns, held_in_worker, quoted, slices
 from vitrine.llm.units import LatinCut, MixedTexts, UnitCache, sums
 from vitrine.session import ship_package, stage
 
@@ -277,9 +277,6 @@ def _pooled(sample: DataFrame, model: Model) -> DataFrame:
     return append_columns(sample, "text", make, [T.StructField("pooled", T.ArrayType(T.DoubleType()), True)], ["__id", "__label"])
 
 
-_POOLERS: dict[str, Pooler] = {}
-
-
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``score``, the probability of label 1 for each whole text, and ``predicted`` (1 from ``threshold`` on).
 
@@ -290,10 +287,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def make():
         held = shared.value
-        if held.key not in _POOLERS:
-            _POOLERS.clear()
-            _POOLERS[held.key] = Pooler(held.words, held.vectors)
-        pool = _POOLERS[held.key]
+        pool = held_in_worker(held.key, lambda: Pooler(held.words, held.vectors))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             if held.layers:

@@ -148,7 +148,7 @@ class UnitCache:
     number of values of each. The cache is emptied when it holds ``max_units`` units or ``max_bytes`` bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter=cut_space, dtype=np.int32, max_units: int = 600_000, max_bytes: int = 48 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter=cut_space, dtype=np.int32, max_units: int = 300_000, max_bytes: int = 48 << 20):
         self.encode, self.cutter, self.dtype = encode, cutter, dtype
         self.max_units, self.max_bytes = max_units, max_bytes
         self.clear()

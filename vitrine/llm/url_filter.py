@@ -6,7 +6,6 @@ difference of the log-likelihoods per character, calibrated on URLs that were ke
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,18 +139,12 @@ def train(df: DataFrame, capacity: int = CAPACITY) -> dict[str, Markov]:
     return models
 
 
-_MODELS: dict[str, dict[str, Markov]] = {}
-
-
 def with_difference(df: DataFrame, models: dict[str, Markov], text_col: str, keep: list[str]) -> DataFrame:
     """``difference``: log-likelihood under ``allow`` less that under ``block``, per character with the end."""
-    shared, key = df.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = shared.value
-        held = _MODELS[key]
+        held = shared.value
 
         def work(texts: pa.Array) -> list[pa.Array]:
             if len(held) < 2:

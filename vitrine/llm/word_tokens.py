@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from vitrine.llm.bpe import BpeModel
+from vitrine.llm.columns import held_in_worker
 from vitrine.llm.units import LatinCut, MixedTexts, UnitCache, ragged, sums
 
 _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
@@ -153,12 +154,6 @@ class WordTokens:
         return self.sequences(texts)
 
 
-_TOKENS: dict[int, WordTokens] = {}
-
-
 def word_tokens(key: int, text: str) -> WordTokens:
     """The tokens of a vocabulary, built once per worker."""
-    if key not in _TOKENS:
-        _TOKENS.clear()
-        _TOKENS[key] = WordTokens(text)
-    return _TOKENS[key]
+    return held_in_worker(("words", key), lambda: WordTokens(text))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import append_columns
+from vitrine.llm.columns import append_columns, held_in_worker
 from vitrine.llm.units import UnitCache, sums
 
 UNKNOWN = -1
@@ -75,21 +75,15 @@ class Automaton:
         return total
 
 
-_AUTOMATA: dict[int, UnitCache] = {}
+def _counts(pieces: list[bytes], lead: bytes) -> UnitCache:
+    count = Automaton(pieces).count
 
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [u.strip() for u in units]
+        values = [count(lead + w) for w in words if w]
+        return np.array(values, dtype=np.int32), np.array([1 if w else 0 for w in words], dtype=np.int64)
 
-def _counts(key: int, pieces: list[bytes], lead: bytes) -> UnitCache:
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        count = Automaton(pieces).count
-
-        def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            words = [u.strip() for u in units]
-            values = [count(lead + w) for w in words if w]
-            return np.array(values, dtype=np.int32), np.array([1 if w else 0 for w in words], dtype=np.int64)
-
-        _AUTOMATA[key] = UnitCache(encode)
-    return _AUTOMATA[key]
+    return UnitCache(encode)
 
 
 def count_pieces(df: DataFrame, pieces: list[bytes], text_col: str = "text", lead: bytes = b" ", keep: list[str] | None = None) -> DataFrame:
@@ -104,7 +98,7 @@ def count_pieces(df: DataFrame, pieces: list[bytes], text_col: str = "text", lea
     key = hash((tuple(shared.value), lead))
 
     def make():
-        cache = _counts(key, shared.value, lead)
+        cache = held_in_worker(("pieces", key), lambda: _counts(shared.value, lead))
 
         def work(texts: pa.Array) -> list[pa.Array]:
             values, offsets = cache.sequences(texts)

@@ -144,7 +144,7 @@ def word_vectors(df: DataFrame, vocabulary: list[str], settings: Settings, text_
                     other = (codes_ // rows + codes_ % rows - by)[order]
                     mine = by[order]
                     firsts = np.flatnonzero(np.diff(mine, prepend=-1))
-                    for a, b in zip(range(0, len(firsts), 256), range(256, len(firsts) + 256, 256)):
+                    for a, b in zip(range(0, len(firsts), 32), range(32, len(firsts) + 32, 32)):
                         low = firsts[a]
                         high = firsts[b] if b < len(firsts) else len(mine)
                         part = index[other[low:high]] * n[order[low:high], None].astype(np.float64)
@@ -174,7 +174,7 @@ class Pooler:
         size = self.vectors.shape[1]
         out = np.zeros((len(texts), 2 * size + 3))
         n = np.diff(offsets)
-        step = 200_000
+        step = 50_000
         for first in range(0, len(ids), step):  # a long text is added up in parts
             last = min(first + step, len(ids))
             bounds = np.clip(offsets, first, last) - first

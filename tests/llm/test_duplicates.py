@@ -211,6 +211,49 @@ def test_line_chunks_with_odd_rows(spark):
     assert out.count() == df.count() and out.where("text is null").count() == 1
 
 
+def _without_passages(table, least_lines, least_words):
+    seen, want = set(), {}
+    for i, text in table:
+        lines, gone = (text or "").split("\n"), set()
+        for k in range(len(lines)):
+            run = tuple(lines[k : k + least_lines])
+            found = [run] if len(run) == least_lines else []
+            found += [(lines[k],)] if len(lines[k].split()) >= least_words else []
+            for anchor in found:
+                if anchor in seen:
+                    gone.update(range(k, k + len(anchor)))
+                seen.add(anchor)
+        want[i] = ("\n".join(line for k, line in enumerate(lines) if k not in gone) if gone else text, len(gone))
+    return want
+
+
+def test_passages_go_to_their_edges(spark):
+    rng = random.Random(9)
+    own = lambda: f"own {rng.random()}"
+    long = " ".join(f"w{rng.random()}" for _ in range(60))
+    passages = [[f"shared {k} {rng.random()}" for _ in range(k)] for k in (2, 3, 4, 6, 10)] + [[long]]
+    texts = ["\n".join([own(), *p, own()]) for _ in range(3) for p in passages] + ["\n".join(passages[3])] * 2
+    texts += ["same line\n" * 40, "a\nb\na\nb\na", "short line", "short line", "", None]
+    table = list(enumerate(texts))
+    df = with_clashes(spark.createDataFrame(table, "doc_id long, text string").repartition(3), "Removed_lines", "anchor")
+    out = line_chunks.remove_passages(df)
+    assert out.columns == ["doc_id", "text", "anchor", "removed_lines"]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in out.collect()}
+    assert got == _without_passages(table, line_chunks.LEAST_LINES, line_chunks.LEAST_WORDS)
+    n = len(passages)
+    assert [got[i][1] for i in range(n, 2 * n)] == [2, 3, 4, 6, 10, 1]
+    assert line_chunks.remove_passages(df.limit(0)).count() == 0
+
+
+def test_passages_of_odd_rows(spark):
+    df = documents(spark)
+    out = line_chunks.remove_passages(df)
+    assert out.count() == df.count() and out.where("text is null").count() == 1
+    first = {line for (t,) in df.select("text").collect() for line in (t or "").split("\n")}
+    left = {line for (t,) in out.select("text").collect() for line in (t or "").split("\n")}
+    assert first <= left | {""}
+
+
 def _groups(table):
     found = defaultdict(list)
     for i, text in table:

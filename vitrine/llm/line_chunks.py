@@ -2,7 +2,11 @@
 
 A rolling hash over the hashes of the last lines decides where a chunk ends, so the chunks of a passage are the
 same wherever it stands but for its edges. Chunks of several lines that stand in more than one place are found by
-their hash, compared byte by byte, and removed but for their first place.
+their hash, compared byte by byte, and removed but for their first place (``remove_repeated``).
+
+Chunks leave the edges of a passage, and most short passages whole. ``remove_passages`` therefore takes every run of
+``LEAST_LINES`` lines as an anchor, and every line of ``LEAST_WORDS`` words: anchors that overlap join to the whole
+passage, up to the lines where it begins and ends.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.columns import fresh, quoted
+from vitrine.llm.winnow import WORDS
+from vitrine.session import stage
 
 #: Lines that decide on a boundary, and one in how many lines ends a chunk.
 WINDOW, DIVISOR = 2, 3
 #: Fewest lines of a chunk that is removed.
 LEAST_LINES = 2
+#: Fewest words of a line that is a passage by itself.
+LEAST_WORDS = 50
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 
 
@@ -76,3 +84,61 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.select(
         *[(text.alias(c) if c == text_col else F.col(quoted(c))) for c in columns], removed.cast("long").alias("removed_lines")
     )
+
+
+def _joined(lines: Column, place: Column, width: Column) -> Column:
+    return F.array_join(F.slice(lines, place + 1, width), "\n")
+
+
+def _anchors(lines: Column, least_lines: int, least_words: int) -> Column:
+    """``place``, ``width`` and ``hash`` of all runs of ``least_lines`` lines and of all lines of ``least_words`` words."""
+    width = F.lit(least_lines)
+    anchor = lambda place, width, text: F.struct(place.alias("place"), width.alias("width"), F.xxhash64(text).alias("hash"))
+    none = F.array().cast("array<struct<place:int,width:int,hash:bigint>>")
+    starts = F.sequence(F.lit(0), F.size(lines) - width)
+    runs = F.when(F.size(lines) >= width, F.transform(starts, lambda i: anchor(i, width, _joined(lines, i, width)))).otherwise(none)
+    # Counting the words of a line is dear; one with fewer characters has too few.
+    long = lambda line: F.when(F.char_length(line) >= least_words, F.regexp_count(line, F.lit(WORDS)) >= least_words).otherwise(False)
+    single = F.filter(F.transform(lines, lambda line, i: F.when(long(line), anchor(i, F.lit(1), line))), lambda a: a.isNotNull())
+    return F.concat(runs, single)
+
+
+def remove_passages(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """``df`` without the lines of passages that stood before, in the order of ids and lines.
+
+    A passage is a run of ``least_lines`` lines or more, or one line of ``least_words`` words or more (ideographs are
+    words). A line goes if an anchor that holds it (see above) equals one that begins earlier, byte for byte; so all
+    lines of a repeated passage go, and the first place of each line stays. Columns, ``removed_lines``, null ids,
+    null texts and repeated rows are as in ``remove_repeated``.
+    """
+    columns = [c for c in df.columns if c.lower() != "removed_lines"]
+    row, copy, lines = "__row_id", "__row_hash", "__lines"
+    own = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    cut = df.select(F.col(quoted(id_col)).alias(row), F.xxhash64(own).alias(copy), F.split(own, "\n", -1).alias(lines))
+    # The outer form keeps the planner from testing for anchors by cutting the text once more.
+    places = cut.select(row, copy, F.inline_outer(_anchors(F.col(lines), least_lines, least_words))).where("hash is not null")
+    at = F.struct(row, copy, "place")
+    # Candidates by hash alone; only their texts are compared.
+    candidates = stage(places.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("hash"))
+    wanted = places.join(candidates, "hash", "left_semi").groupBy(row, copy).agg(F.collect_set(F.struct("place", "width", "hash")).alias("wanted"))
+    # Both joins read the same shuffle of the texts if there are no columns but id and text.
+    rows = df.select(*[F.col(quoted(c)) for c in columns], F.xxhash64(own).alias("__own_hash"))
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(row)) & (F.col("__own_hash") == F.col(copy))
+    held = rows.join(wanted, same).withColumn(lines, F.split(own, "\n", -1))
+    texts = F.transform("wanted", lambda a: F.struct(a["place"], a["width"], a["hash"], _joined(F.col(lines), a["place"], a["width"]).alias("anchor")))
+    # Named twice, so that the planner does not cut the text anew for each anchor.
+    hits = held.select(row, copy, F.inline_outer(F.when(F.size(lines) > 0, texts)))
+    firsts = hits.groupBy("hash", "anchor").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
+    others = hits.join(firsts.select("hash", "anchor", "first"), ["hash", "anchor"]).where(~at.eqNullSafe(F.col("first")))
+    inside = F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1)).alias("line")
+    gone = others.select(row, copy, inside).groupBy(row, copy).agg(F.collect_set("line").alias("gone"))
+    joined = rows.join(gone, same, "left").withColumn(lines, F.when(F.col("gone").isNotNull(), F.split(own, "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(quoted(text_col))).otherwise(left)
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    return joined.select(
+        *[(text.alias(c) if c == text_col else F.col(quoted(c))) for c in columns], removed.cast("long").alias("removed_lines")
+    )

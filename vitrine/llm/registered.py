@@ -70,7 +70,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_chunks.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = line_chunks.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "removed_lines", "text")
 
 

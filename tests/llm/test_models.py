@@ -189,6 +189,23 @@ def test_markov_smoothing_by_hand(spark):
         assert logs[place] == pytest.approx(math.log(p))
 
 
+def test_url_differences_hold_all_contexts(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CAPACITY", 1)  # bounds nothing here
+    rng = random.Random(6)
+    sides = [("allow", "abcé", 60), ("block", "bcd", 15)]
+    held = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 9))), v) for v, letters, n in sides for _ in range(n)]
+    counted = Counter(held)
+    texts = [(t, v, n, False) for (t, v), n in counted.items()] + [("abcd", None, 3, False), ("", None, 1, False), ("zz", "allow", 2, True)]
+    out = url_filter.text_differences(spark.createDataFrame(texts, "text string, verdict string, n long, out boolean").repartition(3))
+    models = url_filter.train(spark.createDataFrame([(v, t) for t, v in held], "verdict string, text string"), capacity=1 << 30)
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        levels, _ = url_filter._contexts(pa.array([r.text]))
+        want = (models["allow"].logs(levels) - models["block"].logs(levels)).mean()
+        assert r.difference == pytest.approx(want, abs=1e-6)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -2,6 +2,10 @@
 
 URLs that rules accept or reject train one smoothed variable-order Markov model each. Where no rule fits, the
 difference of the log-likelihoods per character, calibrated on URLs that were kept out of the models, decides.
+
+The counts of all contexts stay a table. What a place of a text adds to the difference depends on its gram alone, the
+byte and the ``ORDER`` bytes before it; so the distinct grams of the texts are rated order by order, by joins with the
+counts in which a key meets no more rows than there are bytes, and each text sums the rates of its grams.
 """
 
 from __future__ import annotations
@@ -14,16 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import append_columns, fresh, quoted, slices
-from vitrine.llm.units import ragged, sums, text_bytes
+from vitrine.llm.columns import fresh, quoted, slices
+from vitrine.llm.units import ragged, text_bytes
 from vitrine.session import ship_package, stage
 
 ORDER = 5
-#: Most continuations of contexts that a model holds: rarer ones fall back to shorter contexts.
+#: Most continuations of contexts that a model of ``train`` holds; ``judge`` has no such bound.
 CAPACITY = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One in how many URLs is kept out of the models, and the steps in which their differences are counted.
 _HELD_OUT, _STEPS = 5, 64
+#: Bits of a byte in a gram (0: before and after the text), the unit in which rates are summed exactly, and over how
+#: many keys a gram that is in most URLs is spread.
+_SYMBOL, _UNIT, _SALTS = 9, 1e-9, 8
 
 
 def host_of(url: Column) -> Column:
@@ -139,35 +146,89 @@ def train(df: DataFrame, capacity: int = CAPACITY) -> dict[str, Markov]:
     return models
 
 
-def with_difference(df: DataFrame, models: dict[str, Markov], text_col: str, keep: list[str]) -> DataFrame:
-    """``difference``: log-likelihood under ``allow`` less that under ``block``, per character with the end."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        held = shared.value
-
-        def work(texts: pa.Array) -> list[pa.Array]:
-            if len(held) < 2:
-                return [pa.array(np.zeros(len(texts)))]
-            out = []
-            for start, stop in slices(texts, 1 << 20):
-                levels, ends = _contexts(texts.slice(start, stop - start))
-                ratio = held["allow"].logs(levels) - held["block"].logs(levels)
-                out.append(sums(ratio, ends) / np.diff(ends))
-            return [pa.array(np.concatenate(out) if out else np.zeros(0))]
-
-        return work
+def grams_of(df: DataFrame) -> DataFrame:
+    """The grams of ``text`` and their number ``n``, next to the other columns; one more row than ``text`` has bytes
+    if all are different."""
+    ship_package(df.sparkSession)
+    others = [c for c in df.columns if c != "text"]
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
-    return append_columns(df, text_col, make, [T.StructField("difference", T.DoubleType(), True)], keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column("text"), 1 << 20):
+                part = batch.slice(start, stop - start)
+                data, offsets = text_bytes(part.column("text"))
+                lengths = np.diff(offsets) + 1
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                flat = np.zeros(int(ends[-1]) + ORDER * len(lengths), dtype=np.int64)
+                begins = ends[:-1] + ORDER * np.arange(1, len(lengths) + 1)
+                flat[ragged(begins, lengths - 1)] = data.astype(np.int64) + 1
+                at = ragged(begins, lengths)
+                gram = sum(flat[at - order] << (_SYMBOL * order) for order in range(ORDER + 1))
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                by = np.lexsort((gram, row))
+                gram, row = gram[by], row[by]
+                first = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])))
+                n = np.diff(np.append(first, len(gram)))
+                kept = [part.column(c).take(pa.array(row[first])) for c in others]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(gram[first]), pa.array(n)], names=[*others, "gram", "n"])
+
+    return df.mapInArrow(run, schema)
+
+
+def rated(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``gram`` and ``rate`` of the distinct ``grams``: log-probability of the last byte under ``allow`` less that
+    under ``block``, with the smoothing of ``Markov``; ``counts`` has ``gram``, ``allow`` and ``block``."""
+    sides, shorter = ("allow", "block"), None
+    for order in range(ORDER + 1):
+        gram = F.col("gram").bitwiseAND((1 << (_SYMBOL * (order + 1))) - 1)
+        suffix = F.col("gram").bitwiseAND((1 << (_SYMBOL * order)) - 1)
+        mine = counts.groupBy(gram.alias("gram")).agg(*[F.sum(s).alias(s) for s in sides])
+        contexts = mine.groupBy(F.shiftright("gram", _SYMBOL).alias("context")).agg(
+            *[F.sum(s).alias(f"{s}_total") for s in sides], *[F.count_if(F.col(s) > 0).cast("double").alias(f"{s}_kinds") for s in sides]
+        )
+        asked = grams.select(gram.alias("gram")).distinct().withColumn("context", F.shiftright("gram", _SYMBOL)).withColumn("suffix", suffix)
+        found = asked.join(mine, "gram", "left").join(contexts, "context", "left")
+        if shorter is None:
+            found = found.select("*", *[F.lit(1 / 257).alias(f"{s}_p") for s in sides])
+        else:
+            found = found.join(shorter.withColumnRenamed("gram", "suffix"), "suffix")
+        p = [
+            F.when(F.col(f"{s}_total") > 0, (F.coalesce(s, F.lit(0)) + F.col(f"{s}_kinds") * F.col(f"{s}_p")) / (F.col(f"{s}_total") + F.col(f"{s}_kinds")))
+            .otherwise(F.col(f"{s}_p")).alias(f"{s}_p")
+            for s in sides
+        ]
+        shorter = stage(found.select("gram", *p))
+    return shorter.select("gram", (F.log("allow_p") - F.log("block_p")).alias("rate"))
+
+
+def text_differences(texts: DataFrame) -> DataFrame:
+    """``difference`` of the distinct ``texts`` with ``verdict``, ``out`` and ``n``, how often each is there.
+
+    Texts with a verdict that are not ``out`` train the models, as often as they are there.
+    """
+    texts = stage(texts.withColumn("id", F.monotonically_increasing_id()))
+    weight = lambda side: F.when((F.col("verdict") == side) & ~F.col("out"), F.col("n")).otherwise(0).alias(side)
+    grams = stage(grams_of(texts.select("id", weight("allow"), weight("block"), "text")))
+    learnt = grams.where("allow > 0 OR block > 0")
+    counts = stage(learnt.groupBy("gram").agg(*[F.sum(F.col("n") * F.col(s)).alias(s) for s in ("allow", "block")]))
+    held = counts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    if not held.allow or not held.block:
+        return texts.select("text", "verdict", "out", "n", F.lit(0.0).alias("difference"))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])).alias("salt")
+    rates = rated(grams.select("gram").distinct(), counts).select("gram", F.round(F.col("rate") / _UNIT).cast("long").alias("rate"), salts)
+    each = grams.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(rates, ["gram", "salt"])
+    total = each.groupBy("id").agg((F.sum(F.col("n") * F.col("rate")) * _UNIT / F.sum("n")).alias("difference"))
+    return texts.join(total, "id").select("text", "verdict", "out", "n", "difference")
 
 
 def calibrate(scored: DataFrame) -> tuple[float, float]:
-    """Slope and offset of the log-odds of ``allow`` by ``difference``, both verdicts weighing the same.
+    """Slope and offset of the log-odds of ``allow`` by ``difference`` of ``n`` rows each, both verdicts weighing the same.
 
     Only counts per step of the difference, which is bounded by the models, come to the driver.
     """
     step = F.floor(F.col("difference") * _STEPS).cast("int")
-    rows = scored.groupBy("verdict", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = scored.groupBy("verdict", step.alias("step")).agg(F.sum("n").alias("n")).collect()
     x = np.array([(r.step + 0.5) / _STEPS for r in rows])
     y = np.array([r.verdict == "allow" for r in rows], dtype=np.float64)
     n = np.array([r.n for r in rows], dtype=np.float64)
@@ -201,11 +262,13 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", kee
     host, path, rule, text = (fresh(f"__{n}", df.columns) for n in ("host", "path", "rule", "text"))
     rows = df.select(*[F.col(quoted(c)) for c in kept], host_of(F.col(quoted(url_col))).alias(host), path_of(F.col(quoted(url_col))).alias(path))
     rows = rows.withColumn(rule, rule_for(F.col(host), F.col(path), rules)).withColumn(text, F.concat(host, path))
-    marked = rows.where(F.col(rule).isNotNull()).select(F.col(f"{rule}.verdict").alias("verdict"), F.col(text).alias("text"))
+    verdict = F.col(f"{rule}.verdict")
     out = F.pmod(F.xxhash64("text"), F.lit(_HELD_OUT)) == 0
-    models = train(marked.where(~out))
-    slope, offset = calibrate(with_difference(marked.where(out), models, "text", ["verdict"]))
-    scored = with_difference(rows, models, text, [*kept, host, path, rule])
+    texts = rows.groupBy(F.col(text).alias("text"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n")).withColumn("out", out)
+    found = stage(text_differences(texts))
+    slope, offset = calibrate(found.where(F.col("verdict").isNotNull() & F.col("out")))
+    same = (F.col(text) == F.col("__found_text")) & verdict.eqNullSafe(F.col("__found_verdict"))
+    scored = rows.join(found.select(F.col("text").alias("__found_text"), F.col("verdict").alias("__found_verdict"), "difference"), same)
     score = 1 / (1 + F.exp(-(F.col("difference") * slope + offset)))
     own = F.when(score >= threshold, "allow").otherwise("block")
     return scored.select(

@@ -64,8 +64,9 @@ def append_columns(
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
     fields: list[T.StructField],
     keep: list[str] | None = None,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """``df`` (or its columns ``keep``) with ``fields`` computed from ``text_col``.
+    """``df`` (or its columns ``keep``) with ``fields`` computed from ``text_col``, ``limit`` bytes of text at once.
 
     ``make()`` runs once per task and returns a function from an Arrow array of texts (null: empty) to one
     array per field. Existing columns with the name of a field are replaced.
@@ -82,7 +83,7 @@ def append_columns(
         work = make()
         for batch in batches:
             texts = batch.column(len(kept))
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, limit):
                 part = batch.slice(start, stop - start)
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, *work(part.column(len(kept)))], names=names)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, langid, line_chunks, packing, quality, simhash, stream_dedup, url_filter, winnow, wordpiece
+from vitrine.llm import bpe, langid, line_chunks, packing, quality, runs, simhash, stream_dedup, url_filter, winnow, wordpiece
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -92,6 +92,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _with_planted_runs(documents: DataFrame) -> DataFrame:
+    """The documents' texts; in those that their id's CRC-32 chooses, words from a chosen one on repeat with a chosen period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("long"), F.floor(F.col("h") / 10)
+    chosen = chosen.select("doc_id", "text", "words", n.alias("n"), g.alias("g"), F.when(n > 0, g % F.greatest(n, F.lit(1))).cast("long").alias("a"))
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    first, rest = F.col("a").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    turns = F.ceil(rest / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", first + 1, period), turns)), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), first), tail), " ")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(_with_planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", "runs", "collapsed", longest.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -103,6 +135,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE: dict[str, str] = {
     "op10_exact_dedup": """

@@ -66,6 +66,53 @@ def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return out
 
 
+def _unlike(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """The units that aren't the same bytes as unit ``like`` of each."""
+    unlike = lengths != lengths[like]
+    rows = np.flatnonzero(~unlike & (like != np.arange(len(like))))
+    ends = np.cumsum(lengths[rows])
+    first = 0
+    while first < len(rows):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + _HASHED, side="right")))
+        part = rows[first:last]
+        size = lengths[part]
+        same = data[ragged(starts[part], size)] == data[ragged(starts[like[part]], size)]
+        wrong = np.unique(np.searchsorted(ends[first:last] - done, np.flatnonzero(~same), side="right"))
+        unlike[part[wrong]] = True
+        first = last
+    return np.flatnonzero(unlike)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One unit of each content, and for each unit which of them it equals. Hashes only propose, bytes decide."""
+    _, first, inverse = np.unique(_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+    others: dict[bytes, int] = {}
+    more = []
+    for at in _unlike(data, starts, lengths, first[inverse]).tolist():
+        unit = data[starts[at] : starts[at] + lengths[at]].tobytes()
+        if unit not in others:
+            others[unit] = len(first) + len(more)
+            more.append(at)
+        inverse[at] = others[unit]
+    return (np.concatenate([first, more]).astype(np.int64) if more else first), inverse
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each stretch of other characters than white space as one unit."""
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = ~space[heads]
+    ends = ~space
+    ends[:-1] &= space[1:]
+    tails = offsets[1:][offsets[1:] > 0] - 1
+    ends[tails] = ~space[tails]
+    starts = np.flatnonzero(begins)
+    return data, starts, np.flatnonzero(ends) + 1 - starts
+
+
 def cut_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts and lengths of units that begin at a text and at white space after other characters."""
     space = _SPACE[data]
@@ -201,7 +248,7 @@ class UnitCache:
         bounds = np.searchsorted(starts, offsets)
         if not len(starts):
             return np.zeros(0, dtype=np.int64), bounds
-        _, first, inverse = np.unique(_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        first, inverse = distinct(data, starts, lengths)
         raw = data.tobytes()
         begin = starts[first].tolist()
         end = (starts[first] + lengths[first]).tolist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,15 @@ _TEXT = "__llm_text"
 _HELD: dict[object, object] = {}
 
 
+def release() -> None:
+    """Give memory that this Python worker no longer needs back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def held_in_worker(key: object, build: Callable[[], object]):
     """What ``build`` gives, kept in the Python worker for later tasks with the same key.
 
@@ -28,7 +38,7 @@ def held_in_worker(key: object, build: Callable[[], object]):
     """
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
+        release()
         _HELD[key] = build()
     return _HELD[key]
 
@@ -87,5 +97,6 @@ def append_columns(
                 part = batch.slice(start, stop - start)
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, *work(part.column(len(kept)))], names=names)
+        release()
 
     return source.mapInArrow(run, schema)

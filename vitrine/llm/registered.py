@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, langid, line_chunks, packing, quality, runs, simhash, stream_dedup, url_filter, winnow, wordpiece
+from vitrine.llm import bpe, dominance, langid, line_chunks, packing, quality, runs, simhash, stream_dedup, url_filter, winnow, wordpiece
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -124,6 +124,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = dominance.pack_whole(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -136,6 +141,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 ORACLE: dict[str, str] = {
     "op10_exact_dedup": """

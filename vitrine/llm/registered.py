@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, dominance, langid, line_chunks, packing, quality, runs, simhash, stream_dedup, url_filter, winnow, wordpiece
+from vitrine.llm import bpe, dominance, langid, line_chunks, packing, phrases, quality, runs, simhash, stream_dedup, url_filter, winnow, wordpiece
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -129,6 +129,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -142,6 +146,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_phrases": op13_phrases,
 }
 ORACLE: dict[str, str] = {
     "op10_exact_dedup": """
@@ -150,4 +155,35 @@ WITH t AS (
 ), g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY low)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(low) AS text_sha256
 FROM t JOIN g USING (low)""",
+    "op13_phrases": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 10
+), total AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, ws FROM c
+), rated AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+), least AS (
+  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM c WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase) WHERE NOT (k = 2 AND coalesce(100 * most >= 50 * a, false))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n AS n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
 }

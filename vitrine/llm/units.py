@@ -98,9 +98,9 @@ def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
     return (np.concatenate([first, more]).astype(np.int64) if more else first), inverse
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each stretch of other characters than white space as one unit."""
-    space = _SPACE[data]
+def cut_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each stretch of other bytes than ``gaps``, white space by default, as one unit."""
+    space = gaps[data]
     begins = ~space
     begins[1:] &= space[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from registered import tables as R
 from vitrine import constants as C
 from vitrine.functions import vectors as V
+from vitrine.operators.cells import CellIndex, budget_search, calibrate, exact_search
 from vitrine.operators.knn import semantic_search, similar_by_vector
 from vitrine.operators.lsh import approximate_search, recall
+from vitrine.session import stage
 
 #: Share of the exact ten neighbours that the approximate search must find.
 LEAST_RECALL = 0.9
@@ -35,10 +37,29 @@ def knn_grid(spark, sf_dir):
     return similar_by_vector(R.vectors(spark, sf_dir), size=10, max_query_rows=0)
 
 
+def knn_cells(spark, sf_dir):
+    """The same ranking from the index by cell; cells that can hold no hit are left out."""
+    vectors = R.vectors(spark, sf_dir)
+    return exact_search(vectors.withColumnRenamed("doc_id", "query_id"), CellIndex.build(vectors), 10, exclude_self=True)
+
+
+def knn_budget(spark, sf_dir):
+    """Neighbours among as many candidates as a recall of 0.95 needs on a sample of the queries, checked as below."""
+    vectors = R.vectors(spark, sf_dir)
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    index = CellIndex.build(vectors)
+    budget = calibrate(index, queries, 10)
+    return _quality(spark, vectors, budget_search(queries, index, 10, budget, exclude_self=True))
+
+
 def knn_lsh_quality(spark, sf_dir):
-    """Approximate neighbours against exact ones: no score differs, none is the query itself, and recall holds."""
     vectors = R.vectors(spark, sf_dir)
-    near = approximate_search(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 10, exclude_self=True)
+    return _quality(spark, vectors, approximate_search(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 10, exclude_self=True))
+
+
+def _quality(spark, vectors, near):
+    """Approximate neighbours against exact ones: no score differs, none is the query itself, and recall holds."""
+    near = stage(near)
     exact = similar_by_vector(vectors, size=10, spread=R.cores(spark))
     whole = similar_by_vector(vectors, size=1_000, spread=R.cores(spark)).select("query_id", "doc_id", F.col("score").alias("exact"))
     hits = near.join(whole, ["query_id", "doc_id"], "left")
@@ -70,6 +91,8 @@ QUERIES = {
     "knn_threshold": knn_threshold,
     "similar_by_vector": similar_vectors,
     "knn_grid": knn_grid,
+    "knn_cells": knn_cells,
+    "knn_budget": knn_budget,
     "knn_lsh_quality": knn_lsh_quality,
     "vector_norms": vector_norms,
     "lookup_by_id": lookup_by_id,
@@ -89,8 +112,12 @@ SELECT query_id, doc_id, score, rank FROM (
     FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings d))
 WHERE rank <= {size}"""
 
+_GOOD = "SELECT 0::BIGINT AS wrong_scores, 0::BIGINT AS own, count(*) AS vectors, true AS good_recall FROM embeddings"
+
 ORACLE = {
-    "knn_lsh_quality": "SELECT 0::BIGINT AS wrong_scores, 0::BIGINT AS own, count(*) AS vectors, true AS good_recall FROM embeddings",
+    "knn_budget": _GOOD,
+    "knn_lsh_quality": _GOOD,
+    "knn_cells": _SIMILAR,
     "knn_topk": _BENCHMARK.format(score=R.cosine_sql("q.embedding", "d.embedding"), size=10),
     "knn_threshold": _BENCHMARK.format(
         score=R.cosine_sql("q.embedding[1:32]", "d.embedding[1:32]"), size=20

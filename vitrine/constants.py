@@ -23,6 +23,8 @@ RRF_K_MIN = 20
 RRF_K_RANGE = 40
 WEIGHT_EXPONENT = 1.5
 FUSION_FETCH = 2
+# Candidates of an approximate vector search per result.
+CANDIDATES = 4
 
 # Okapi BM25 as the public Lucene defaults have it.
 BM25_K1 = 1.2

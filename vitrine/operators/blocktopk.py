@@ -62,14 +62,14 @@ class _Best:
         self.scores = np.empty(0)
         self.ids = np.empty(0, object)
 
-    def offer(self, start: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Take in a block; rows are queries from ``start``, columns documents by rising id.
+    def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in a block; rows are ``queries`` by rising place, columns documents by rising id.
 
         Scores are rounded after a first cut with some slack, so most are never rounded.
         """
         k, (height, width) = self.k, scores.shape
-        self.matches[start : start + height] += np.count_nonzero(scores > -np.inf, axis=1)
-        bar = self.bar[start : start + height]
+        self.matches[queries] += np.count_nonzero(scores > -np.inf, axis=1)
+        bar = self.bar[queries]
         close = scores >= (bar - _SLACK)[:, None]
         close &= scores > -np.inf
         if width > k and np.count_nonzero(close) > 4 * k * height:
@@ -80,8 +80,10 @@ class _Best:
             return
         values = np.round(scores[rows, cols], C.SCORE_DIGITS)
         rows, cols, values = self._cut(rows, cols, values, cols)
-        keep = (self.rows >= start) & (self.rows < start + height)
-        all_rows = np.concatenate([self.rows[keep], rows + start])
+        own = np.zeros(len(self.bar), dtype=bool)
+        own[queries] = True
+        keep = own[self.rows]
+        all_rows = np.concatenate([self.rows[keep], queries[rows]])
         all_scores = np.concatenate([self.scores[keep], values])
         all_ids = np.concatenate([self.ids[keep], ids[cols]])
         order = np.unique(all_ids, return_inverse=True)[1]
@@ -131,7 +133,7 @@ def _offer_block(best: _Best, scorer: Scorer, queries: Any, positions: dict, tab
         if own is not None:
             mine = (own >= start) & (own < stop)
             scores[own[mine] - start, np.nonzero(mine)[0]] = -np.inf
-        best.offer(start, scores, ids)
+        best.offer(np.arange(start, stop), scores, ids)
 
 
 def _setup(scorer: Scorer, query_table: pa.Table, k: int, exclude_self: bool):
@@ -244,9 +246,10 @@ def _split(df: DataFrame, id_col: str, keys: Sequence[str], block: int, out: str
 
 def _is_small(queries: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """True if the query table may go to the driver: its rows and bytes are counted on the executors first."""
-    head = queries.limit(max_rows + 1)
+    if max_rows < 1:
+        return False
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))  # more than the columns take
-    rows, taken = head.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    rows, taken = queries.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     return rows <= max_rows and taken <= max_bytes
 
 

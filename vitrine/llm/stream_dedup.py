@@ -20,7 +20,11 @@ from pyspark.sql import types as T
 from vitrine.llm.columns import append_columns
 from vitrine.session import shared_dir, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks, which takes no more room than it holds: by default every store reserves megabytes in advance.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files that one micro-batch takes in.
 FILES_PER_BATCH = 1000
 
@@ -65,13 +69,15 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, id_col: str, text_co
     state = hashed.groupBy("digest").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct(id_col, "__place")).alias("kept")
     )
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def retained(spark: SparkSession, checkpoint: str) -> DataFrame:

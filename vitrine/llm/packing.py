@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.columns import quoted, slices
+from vitrine.llm.columns import quoted, release, slices
 from vitrine.llm.word_tokens import word_tokens
 from vitrine.session import ship_package
 
@@ -205,5 +205,6 @@ def pack_documents(
         packer.finish()
         if id_type is not None:
             yield from rows(id_type)
+        release()
 
     return source.mapInArrow(run, f"{quoted(id_col)} {kind}, {SCHEMA}")

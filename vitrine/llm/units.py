@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a unit's objects, its dictionary entry and its two numbers, besides its own.
+UNIT_BYTES = 200
 #: Bytes that are hashed at once; about 32 bytes of scratch space for each.
 _HASHED = 2 << 20
 
@@ -192,7 +194,8 @@ class UnitCache:
     """Sequences of whole texts, put together from what ``encode`` gives for each distinct unit.
 
     ``encode`` takes a list of units (bytes) and returns the values of all of them, one after the other, and the
-    number of values of each. The cache is emptied when it holds ``max_units`` units or ``max_bytes`` bytes.
+    number of values of each. The cache is emptied when it holds ``max_units`` units or ``max_bytes`` bytes, the
+    dictionary's own counted.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter=cut_space, dtype=np.int32, max_units: int = 300_000, max_bytes: int = 48 << 20):
@@ -234,7 +237,7 @@ class UnitCache:
             self.lengths[places] = lengths
             self.used += len(values)
             self.count += len(new)
-            self.bytes += sum(map(len, new)) + 4 * len(values)
+            self.bytes += sum(map(len, new)) + UNIT_BYTES * len(new) + values.dtype.itemsize * len(values)
         return found
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

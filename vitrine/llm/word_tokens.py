@@ -60,12 +60,7 @@ class WordTokens:
     """``sequences(texts)`` gives the ids of all texts and their offsets."""
 
     def __init__(self, text: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(text)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.text, self._library = text, None
         model = BpeModel(text)
         self.table = PairTable(model.ranks)
         self.merged = np.array([m for _, _, m in model.rules], dtype=np.int64)
@@ -75,6 +70,18 @@ class WordTokens:
         plain = UnitCache(self.encode_plain, LatinCut(lower=True, digits=True))
         self.sequences = MixedTexts(plain, UnitCache(self.encode_units, max_units=100_000), b"<|").sequences
 
+    @property
+    def library(self):
+        """The tokenizer library's own, for what isn't plain Latin text; loaded when first needed."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.text)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has."""
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)

@@ -37,6 +37,16 @@ def hybrid_multi(spark, sf_dir):
     return _sources(ranked)
 
 
+def hybrid_fuzzy(spark, sf_dir):
+    """Both models as the search page asks: near words count, and each query has its own balance."""
+    queries = R.benchmark_queries(spark, sf_dir).withColumn("balance", F.pmod("query_id", F.lit(11)) / 10)
+    return _sources(hybrid_search(queries, R.document_index(spark, sf_dir), R.model_vectors(spark, sf_dir), ["jina_v3", "siglip2"], SIZE))
+
+
+def hybrid_single_fuzzy(spark, sf_dir):
+    return _sources(hybrid_search(R.benchmark_queries(spark, sf_dir), R.document_index(spark, sf_dir), R.model_vectors(spark, sf_dir), ["siglip2"], SIZE))
+
+
 BALANCES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -93,6 +103,8 @@ def route_queries(spark, sf_dir):
 QUERIES = {
     "hybrid_single": hybrid_single,
     "hybrid_multi": hybrid_multi,
+    "hybrid_fuzzy": hybrid_fuzzy,
+    "hybrid_single_fuzzy": hybrid_single_fuzzy,
     "hybrid_balance_sweep": hybrid_balance_sweep,
     "rrf_weights": rrf_weights,
     "multi_mode": multi_mode,
@@ -150,8 +162,9 @@ fused AS (
     )
 
 
-def _with(queries: str, models: list[str], mixed: str = "true") -> str:
-    parts = [K.keyword_sql(K.DOCUMENT_SQL_FIELDS, "documents", K.BENCHMARK_QUERIES_SQL, False), _settings(queries)]
+def _with(queries: str, models: list[str], mixed: str = "true", fuzzy: bool = False) -> str:
+    words = K.keyword_sql(K.DOCUMENT_SQL_FIELDS, "documents", K.BENCHMARK_QUERIES_SQL, fuzzy, K.EXPAND_FUZZY_TEXT_SQL)
+    parts = [words, _settings(queries)]
     return "WITH " + ",\n".join(parts + [_semantic(m) for m in models] + [_fused(models, mixed)])
 
 
@@ -165,12 +178,14 @@ _MIXED = "balance > 0.01 AND balance < 0.99"
 # Characters a route to the tags may hold besides white space; the tables hold no other emoji.
 _EMOJI_SQL = "[0-9#*]"
 
+_OWN_BALANCE = "SELECT item_id, item_id AS query_id, (item_id % 11) / 10.0::DOUBLE AS balance FROM benchmark"
+
 ORACLE = {
+    "hybrid_fuzzy": _with(_OWN_BALANCE, ["jina_v3", "siglip2"], fuzzy=True)
+    + f" SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}",
+    "hybrid_single_fuzzy": _with(_HALF, ["siglip2"], fuzzy=True) + f" SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}",
     "hybrid_single": _with(_HALF, ["siglip2"]) + f" SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}",
-    "hybrid_multi": _with(
-        "SELECT item_id, item_id AS query_id, (item_id % 11) / 10.0::DOUBLE AS balance FROM benchmark",
-        ["jina_v3", "siglip2"],
-    )
+    "hybrid_multi": _with(_OWN_BALANCE, ["jina_v3", "siglip2"])
     + f" SELECT {_COLUMNS}, total, sources FROM fused WHERE rank <= {SIZE}",
     "hybrid_balance_sweep": _with(_SWEEP, ["jina_v3"], _MIXED)
     + f"""

@@ -27,6 +27,21 @@ def bm25_written_index(spark, sf_dir):
     return keyword_search(queries, index, 20, fuzzy=False, with_total=True)
 
 
+def bm25_fuzzy_text(spark, sf_dir):
+    """The search page's own keyword mode over whole texts: words near a query word count too."""
+    queries = R.benchmark_queries(spark, sf_dir).select("query_id", "text")
+    return keyword_search(queries, R.document_index(spark, sf_dir), 20, with_total=True)
+
+
+def bm25_fuzzy_written(spark, sf_dir):
+    """The same over a written index, whose keys of near words are read by bucket."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    R.document_index(spark, sf_dir).write(path)
+    index = TextIndex.read(spark, path, R.DOCUMENT_FIELDS)
+    queries = R.benchmark_queries(spark, sf_dir).select("query_id", "text")
+    return keyword_search(queries, index, 20, with_total=True)
+
+
 def _item_queries(spark, sf_dir):
     """Every distinct name, type and brand as a query."""
     part = R.table(spark, sf_dir, "part")
@@ -78,6 +93,8 @@ def field_statistics(spark, sf_dir):
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_written_index": bm25_written_index,
+    "bm25_fuzzy_text": bm25_fuzzy_text,
+    "bm25_fuzzy_written": bm25_fuzzy_written,
     "bm25_best_fields": bm25_best_fields,
     "bm25_fuzzy": bm25_fuzzy,
     "bm25_with_descriptions": bm25_with_descriptions,
@@ -133,6 +150,36 @@ kept AS (
 found AS (
   SELECT field, query_term, term, edits, similarity, max(df) OVER (PARTITION BY field, query_term) AS df FROM kept)"""
 
+# The same for texts in several languages. The distance counts bytes, so the letters beyond ASCII that the tables hold
+# become one byte each (words are in lower case). An edit changes at most two of a word's letters, so words whose
+# sets of letters differ in more than twice the edits need not be compared. A swapped pair may not be edited again, which
+# the function allows: two edits with a swap must be a swap and at most one edit before or after it.
+_ONE_BYTE_SQL = "translate({}, 'ñêçíäéèöüóß', 'ABCDEFGHIJK')"
+_SWAP_SQL = """
+len(list_filter(flatten(list_transform(range(1, n), lambda i: [[i, i - 1], [i, i], [i, i + 1]])), lambda p:
+  p[2] > 0 AND length(substr(b, p[2], 2)) = 2 AND substr(a, p[1], 2) = reverse(substr(b, p[2], 2))
+  AND damerau_levenshtein(substr(a, 1, p[1] - 1), substr(b, 1, p[2] - 1)) + damerau_levenshtein(substr(a, p[1] + 2), substr(b, p[2] + 2)) <= 1)) > 0"""
+EXPAND_FUZZY_TEXT_SQL = f"""
+letters AS (
+  SELECT *, length(one) AS n, CASE WHEN length(one) < 3 THEN 0 WHEN length(one) < 6 THEN 1 ELSE 2 END AS budget,
+         CAST(list_reduce(list_transform(list_distinct(string_split(one, '')), lambda c: 1::BIGINT << (ascii(c) % 62)), lambda a, b: a | b) AS BIGINT) AS mask
+  FROM (SELECT DISTINCT word, {_ONE_BYTE_SQL.format('word')} AS one
+        FROM (SELECT query_term AS word FROM wanted UNION ALL SELECT term FROM vocabulary))),
+near AS (
+  SELECT field, query_term, term, df, 1 - edits / least(n, m) AS similarity, CAST(edits AS INT) AS edits
+  FROM (
+    SELECT w.field, w.query_term, v.term, v.df, q.n, q.budget, t.n AS m, damerau_levenshtein(q.one, t.one) AS edits, q.one AS a, t.one AS b
+    FROM (SELECT DISTINCT field, query_term FROM wanted) w JOIN letters q ON q.word = w.query_term
+    JOIN vocabulary v ON w.field = v.field JOIN letters t ON t.word = v.term
+    WHERE abs(q.n - t.n) <= q.budget AND bit_count(xor(q.mask, t.mask)) <= 2 * q.budget)
+  WHERE edits <= budget AND (edits < 2 OR levenshtein(a, b) <= 2 OR {_SWAP_SQL})),
+kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY field, query_term ORDER BY similarity DESC, term) AS n
+    FROM near WHERE similarity > 0) WHERE n <= 50),
+found AS (
+  SELECT field, query_term, term, edits, similarity, max(df) OVER (PARTITION BY field, query_term) AS df FROM kept)"""
+
 EXPAND_EXACT_SQL = """
 found AS (SELECT field, term AS query_term, term, 0 AS edits, 1.0::DOUBLE AS similarity, df FROM vocabulary)"""
 
@@ -165,7 +212,7 @@ ITEM_SQL_FIELDS = [
 ]
 
 
-def keyword_sql(fields, relation: str, prelude: str, fuzzy: bool) -> str:
+def keyword_sql(fields, relation: str, prelude: str, fuzzy: bool, expand: str = EXPAND_FUZZY_SQL) -> str:
     """All CTEs up to ``matches(query_id, doc_id, score)``."""
     return ",\n".join(
         [
@@ -174,7 +221,7 @@ def keyword_sql(fields, relation: str, prelude: str, fuzzy: bool) -> str:
             query_terms_sql(fields),
             INDEX_SQL,
             BOOSTS_SQL,
-            EXPAND_FUZZY_SQL if fuzzy else EXPAND_EXACT_SQL,
+            expand if fuzzy else EXPAND_EXACT_SQL,
             MATCH_SQL,
         ]
     )
@@ -194,7 +241,11 @@ enriched AS (SELECT i.*, d.text AS visual_long_description FROM items i LEFT JOI
 _ALL_QUERIES_SQL = """
 queries AS (SELECT * FROM names UNION ALL SELECT CAST(item_id AS VARCHAR), text FROM benchmark)"""
 
+_FUZZY_TEXT = "WITH " + keyword_sql(DOCUMENT_SQL_FIELDS, "documents", BENCHMARK_QUERIES_SQL, True, EXPAND_FUZZY_TEXT_SQL) + _TOP_TOTAL
+
 ORACLE = {
+    "bm25_fuzzy_text": _FUZZY_TEXT,
+    "bm25_fuzzy_written": _FUZZY_TEXT,
     "bm25_topk": "WITH " + keyword_sql(DOCUMENT_SQL_FIELDS, "documents", BENCHMARK_QUERIES_SQL, False) + _TOP_TOTAL,
     "bm25_written_index": "WITH " + keyword_sql(DOCUMENT_SQL_FIELDS, "documents", BENCHMARK_QUERIES_SQL, False) + _TOP_TOTAL,
     "bm25_best_fields": "WITH " + keyword_sql(ITEM_SQL_FIELDS, "items", R.ITEMS_SQL + "," + _ITEM_QUERIES_SQL, False) + _TOP,

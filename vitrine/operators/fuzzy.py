@@ -11,13 +11,19 @@ Candidates come from an equi-join on keys and never from comparing all pairs:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine import constants as C
-from vitrine.session import ship_package
+from vitrine.session import ship_package, stage
+
+#: Keys in one folder of a written table, about 30 MB, and the most tasks that write one.
+ROWS_PER_BUCKET = 1_000_000
+MOST_KEY_TASKS = 10_000
 
 _MOST_EDITS = 2
 _SEGMENTS = 5
@@ -129,8 +135,8 @@ def _swap_distance(left: str, right: str, most: int | None = None) -> int:
 
 @F.pandas_udf(T.IntegerType())
 def swap_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Edits where they are two at most, something larger otherwise."""
-    return pd.Series([_swap_distance(a, b, _MOST_EDITS) for a, b in zip(left, right)], dtype="int32")
+    """Edits where they are two at most, something larger otherwise; null for a missing word."""
+    return pd.Series([None if a is None else _swap_distance(a, b, _MOST_EDITS) for a, b in zip(left, right)], dtype="Int32")
 
 
 # Keeps the planner from evaluating it below ``distinct`` as well.
@@ -138,31 +144,79 @@ swap_distance = swap_distance.asNondeterministic()
 
 
 def _counted_edits(near: DataFrame) -> DataFrame:
-    """``edits`` of the pairs within budget.
+    """``edits`` of the pairs within budget, in one pass.
 
     A swap is at most two plain edits, so pairs beyond twice the budget are out, and up to one plain edit both
-    counts agree; only the rest goes to Python.
+    counts agree; only the words of the rest go to Python.
     """
-    settled = near.where(F.col("plain").between(0, 1)).withColumn("edits", F.col("plain"))
-    between = near.where((F.col("plain") >= 2) & (F.col("plain") <= 2 * F.col("budget")))
-    counted = between.withColumn("edits", swap_distance("query_term", "term"))
-    return settled.unionByName(counted).where(F.col("edits") <= F.col("budget")).drop("plain")
-
-
-def expand_terms(wanted: DataFrame, vocabulary: DataFrame, max_expansions: int | None = C.MAX_EXPANSIONS) -> DataFrame:
+    close = near.where(F.col("plain").between(0, 2 * F.col("budget")))
+    open_ = F.col("plain") > 1
+    counted = swap_distance(F.when(open_, F.col("query_term")), F.when(open_, F.col("term")))
+    return close.withColumn("edits", F.coalesce(counted, F.col("plain"))).where(F.col("edits") <= F.col("budget")).drop("plain")
+
+
+def keyed_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """``key, field, term, df``: the keys by which each vocabulary term is found."""
+    keys = F.explode(F.array_distinct(vocabulary_keys(F.col("term"))))
+    return vocabulary.select(keys.alias("key"), "field", "term", "df")
+
+
+@dataclass(frozen=True)
+class KeyTable:
+    """A written ``keyed_vocabulary``: ``rows(bucket, key, field, term, df)`` in ``buckets`` folders, each sorted by key."""
+
+    rows: DataFrame
+    buckets: int
+
+    @staticmethod
+    def bucket(key: Column, buckets: int) -> Column:
+        return F.pmod(key, F.lit(buckets)).cast("int")
+
+    @staticmethod
+    def write(vocabulary: DataFrame, path: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+        keyed = keyed_vocabulary(vocabulary)
+        n = vocabulary.select(F.sum(F.size(F.array_distinct(vocabulary_keys(F.col("term")))))).first()[0] or 0
+        buckets = max(1, -(-n // rows_per_bucket))
+        keyed = keyed.withColumn("bucket", KeyTable.bucket(F.col("key"), buckets))
+        # A task for each bucket: its rows come together once, and a search reads whole folders of sorted keys.
+        dealt = keyed.repartition(min(buckets, MOST_KEY_TASKS), "bucket").sortWithinPartitions("bucket", "key", "field", "term")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+        vocabulary.sparkSession.range(1).select(F.lit(buckets).cast("int").alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> KeyTable:
+        schema = "key long, field string, term string, df long, bucket int"
+        return KeyTable(spark.read.schema(schema).parquet(f"{path}/rows"), spark.read.parquet(f"{path}/layout").first()[0])
+
+    def matching(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets that ``keys(key)`` fall into; at most ``buckets`` numbers come to the driver."""
+        wanted = [r.bucket for r in keys.select(self.bucket(F.col("key"), self.buckets).alias("bucket")).distinct().collect()]
+        rows = self.rows if len(wanted) == self.buckets else self.rows.where(F.col("bucket").isin(wanted))
+        return rows.drop("bucket")
+
+
+def expand_terms(
+    wanted: DataFrame, vocabulary: DataFrame, max_expansions: int | None = C.MAX_EXPANSIONS, keys: KeyTable | None = None
+) -> DataFrame:
     """Vocabulary terms near each wanted term.
 
     ``wanted(field, query_term)``, ``vocabulary(field, term, df)`` →
     ``field, query_term, term, edits, similarity, df``.  ``df`` is the largest of the
     expansions of a query term, so a rare misspelling does not outscore the word
     itself.  The 50 nearest terms are kept, as the search server documents it, or all with None.
+    With a written ``keys`` table only the buckets of the wanted terms' keys are read; else the keys of the whole
+    vocabulary are made anew.
     """
     ship_package(wanted.sparkSession)
     budget = edit_budget(F.col("query_term"))
     left = wanted.withColumn("budget", budget).withColumn(
         "key", F.explode(F.array_distinct(match_keys(F.col("query_term"), F.col("budget"))))
     )
-    right = vocabulary.withColumn("key", F.explode(F.array_distinct(vocabulary_keys(F.col("term")))))
+    if keys is None:
+        right = keyed_vocabulary(vocabulary)
+    else:
+        left = stage(left)  # read for its buckets and for the join
+        right = keys.matching(left)
     near = (
         left.join(right, ["field", "key"])
         .where(F.abs(F.char_length("query_term") - F.char_length("term")) <= F.col("budget"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vitrine import constants as C
 from vitrine.functions import text
 from vitrine.functions.scoring import idf
-from vitrine.operators.fuzzy import expand_terms
+from vitrine.operators.fuzzy import KeyTable, expand_terms
 from vitrine.session import stage
 
 # Most bytes of distinct query terms named in a pushed-down filter, which spares row groups; the join decides either way.
@@ -70,7 +70,7 @@ class TextIndex:
     """Statistics of a corpus, and the corpus itself or its postings.
 
     ``vocabulary(field, term, df)``, ``stats(field, n_docs, avg_length)``;
-    ``postings(field, term, doc_id, tf, dl)`` of a written index.
+    ``postings(field, term, doc_id, tf, dl)`` and the keys of fuzzy terms of a written index.
     """
 
     fields: tuple[SearchField, ...]
@@ -78,6 +78,7 @@ class TextIndex:
     stats: DataFrame
     corpus: DataFrame | None = None
     postings: DataFrame | None = None
+    keys: KeyTable | None = None
 
     @staticmethod
     def of(corpus: DataFrame, fields: Sequence[SearchField]) -> TextIndex:
@@ -122,6 +123,7 @@ class TextIndex:
         ranged = postings.repartitionByRange(partitions, *order) if partitions else postings.repartitionByRange(*order)
         ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        KeyTable.write(self.vocabulary, f"{path}/keys")
         self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -131,6 +133,7 @@ class TextIndex:
             spark.read.parquet(f"{path}/vocabulary"),
             spark.read.parquet(f"{path}/stats"),
             postings=spark.read.parquet(f"{path}/postings"),
+            keys=KeyTable.read(spark, f"{path}/keys"),
         )
 
 
@@ -148,7 +151,7 @@ def weighted_features(
     )
     if fuzzy:
         distinct = wanted.where(F.col("field").isin(fuzzy)).select("field", "query_term").distinct()
-        near = expand_terms(distinct, index.vocabulary.where(F.col("field").isin(fuzzy)), max_expansions)
+        near = expand_terms(distinct, index.vocabulary.where(F.col("field").isin(fuzzy)), max_expansions, index.keys)
         found = found.unionByName(near.drop("edits"))
     boosts = F.create_map(*[F.lit(x) for f in index.fields for x in (f.name, f.boost)])
     weight = boosts[F.col("field")] * idf(F.col("n_docs"), F.col("df")) * F.col("similarity") * F.col("repeats")

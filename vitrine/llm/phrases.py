@@ -27,16 +27,19 @@ from vitrine.session import ship_package, stage
 UNKNOWN = "und"
 #: Bytes of text whose n-grams make one range, and words that a shard counts before it hands on its transducer.
 RANGE_BYTES = 8 << 20
-SHARD_WORDS = 2_000_000
-_SLICE = 2 << 20
+SHARD_WORDS = 600_000
+_SLICE = 1 << 20
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP = _BREAK.copy()
 _GAP[[9, 32]] = True
 
+#: A shard's transducer within a range: the words' bytes and lengths; the words that begin a path (as steps from one to the
+#: next) and their weights; for each pair its first word (in steps), second word, weight and state reached (from 1; 0:
+#: none); for each state the number of its transitions; their labels and weights.
 SHARD = (
-    "range long, units array<binary>, one array<int>, one_n array<bigint>, two_a array<int>, two_b array<int>, "
-    "two_n array<bigint>, two_state array<int>, state_size array<int>, state_label array<int>, state_n array<bigint>"
+    "range long, units binary, unit_size binary, one binary, one_n binary, two_a binary, two_b binary, two_n binary, "
+    "two_state binary, state_size binary, state_label binary, state_n binary"
 )
 #: Kinds of rows about frequent n-grams: those of a range, what it asks of another, the answer, words per language.
 TABLE, ASK, ANSWER, TOTAL = range(4)
@@ -57,9 +60,9 @@ def prefix_range(first: np.ndarray, second: np.ndarray | None, ranges: int) -> n
     return ((_mix(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def unit_hashes(units: list[bytes]) -> np.ndarray:
-    lengths = np.array([len(u) for u in units], dtype=np.int64)
-    return _hashes(np.frombuffer(b"".join(units), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths)
+def unit_hashes(units: list[bytes] | pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(pa.array(units, pa.binary()) if isinstance(units, list) else units)
+    return _hashes(data, offsets[:-1], np.diff(offsets))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +90,8 @@ def count_grams(ids: np.ndarray, joined: np.ndarray):
     return (words, word_n), (pairs, pair_n), (triples, triple_n)
 
 
-def register(owner: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the states (lists of ``sizes`` transitions with ``labels`` and weights ``n``) of one owner are the same.
+def register(sizes: np.ndarray, labels: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the states (lists of ``sizes`` transitions with ``labels`` and weights ``n``) are the same.
 
     Gives the number of each one's representative and the places of those. A hash proposes equal states, their
     transitions decide.
@@ -97,11 +100,8 @@ def register(owner: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n: np.nda
     with np.errstate(over="ignore"):
         value = _mix(labels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(n.astype(np.uint64)))
         signature = np.add.reduceat(value, starts) if len(starts) else value
-    order = np.lexsort((signature, owner))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (signature[order[1:]] != signature[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-    like = np.empty(len(order), dtype=np.int64)
-    like[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    _, first, which = np.unique(signature, return_index=True, return_inverse=True)
+    like = first[which]
     same = sizes == sizes[like]
     rows = np.flatnonzero(same)
     mine, other = ragged(starts[rows], sizes[rows]), ragged(starts[like[rows]], sizes[rows])
@@ -112,58 +112,61 @@ def register(owner: np.ndarray, sizes: np.ndarray, labels: np.ndarray, n: np.nda
     return np.searchsorted(kept, like), kept
 
 
-def _lists(values, bounds: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def transducers(units: list[bytes], ids: np.ndarray, joined: np.ndarray, ranges: int) -> pa.RecordBatch:
+def unpack(held) -> np.ndarray:
+    held = memoryview(held)
+    return np.frombuffer(held, dtype=f"<u{held[0]}", offset=1).astype(np.int64)
+
+
+def transducers(units: list[bytes], ids: np.ndarray, joined: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """The count transducer of a shard, one row for each range of prefixes that it has."""
     (words, word_n), (pairs, pair_n), (triples, triple_n) = count_grams(ids, joined)
     hashes = unit_hashes(units)
     word_range = prefix_range(hashes[words], None, ranges)
-    a, b = pairs >> 32, pairs & 0xFFFFFFFF
-    pair_range = prefix_range(hashes[a], hashes[b], ranges)
-    # Transitions after two words: triples stand in the order of their pairs.
-    owner = triples >> 32
-    begin = np.flatnonzero(np.diff(owner, prepend=-1))
-    sizes = np.diff(np.append(begin, len(owner)))
-    labels = triples & 0xFFFFFFFF
-    state, kept = register(pair_range[owner[begin]], sizes, labels, triple_n)
-    reached = np.full(len(pairs), -1, dtype=np.int64)
-    reached[owner[begin]] = state
-    state_range = pair_range[owner[begin[kept]]]
-    # Everything in the order of ranges.
-    one = np.argsort(word_range, kind="stable")
-    two = np.argsort(pair_range, kind="stable")
-    by_state = np.argsort(state_range, kind="stable")
-    rank = np.empty(len(kept), dtype=np.int64)
-    rank[by_state] = np.arange(len(kept))
-    size = sizes[kept][by_state]
-    moves = ragged(begin[kept][by_state], size)
+    pair_range = prefix_range(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF], ranges)
+    del hashes
+    # Triples stand in the order of their pairs.
+    first = np.searchsorted(triples, np.arange(len(pairs) + 1) << 32)
+    one, two = np.argsort(word_range, kind="stable"), np.argsort(pair_range, kind="stable")
     found = np.unique(np.concatenate([word_range, pair_range]))
-    one_at, two_at, state_at = (np.searchsorted(r, np.append(found, ranges)) for r in (word_range[one], pair_range[two], state_range[by_state]))
-    move_at = np.concatenate([[0], np.cumsum(size)])[state_at]
-    where = np.searchsorted(found, np.concatenate([word_range[one], pair_range[two], pair_range[two], np.repeat(state_range[by_state], size)]))
-    used = np.concatenate([words[one], a[two], b[two], labels[moves]])
-    keys, local = np.unique(where << 32 | used, return_inverse=True)
-    unit_at = np.searchsorted(keys, np.arange(len(found) + 1) << 32)
-    local = local - unit_at[where]
-    first, second, last = np.cumsum([len(one), len(two), len(two)])
-    goes = reached[two]
-    some = goes >= 0
-    goes[some] = rank[goes[some]] - state_at[where[first:second][some]]
-    names = pa.array(units, pa.binary()).take(pa.array(keys & 0xFFFFFFFF))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(unit_at, pa.int32()), names),
-            _lists(local[:first].astype(np.int32), one_at, pa.int32()), _lists(word_n[one], one_at, pa.int64()),
-            _lists(local[first:second].astype(np.int32), two_at, pa.int32()), _lists(local[second:last].astype(np.int32), two_at, pa.int32()),
-            _lists(pair_n[two], two_at, pa.int64()), _lists(goes.astype(np.int32), two_at, pa.int32()),
-            _lists(size.astype(np.int32), state_at, pa.int32()), _lists(local[last:].astype(np.int32), move_at, pa.int32()),
-            _lists(triple_n[moves], move_at, pa.int64()),
-        ],
-        names=[part.split()[0] for part in SHARD.split(", ")],
-    )
+    one_at, two_at = (np.searchsorted(r, np.append(found, ranges)) for r in (word_range[one], pair_range[two]))
+    sizes = [len(u) for u in units]
+    rows = []
+    for at, number in enumerate(found.tolist()):
+        mine, p = words[one[one_at[at] : one_at[at + 1]]], two[two_at[at] : two_at[at + 1]]
+        a, b, kids = pairs[p] >> 32, pairs[p] & 0xFFFFFFFF, first[p + 1] - first[p]
+        going = np.flatnonzero(kids)
+        moves = ragged(first[p[going]], kids[going])
+        labels, weights = triples[moves] & 0xFFFFFFFF, triple_n[moves]
+        state, kept = register(kids[going], labels, weights)
+        reached = np.zeros(len(p), dtype=np.int64)
+        reached[going] = state + 1
+        moves = ragged((np.cumsum(kids[going]) - kids[going])[kept], kids[going][kept])
+        used, local = np.unique(np.concatenate([mine, a, b, labels[moves]]), return_inverse=True)
+        mine, a, b, labels = np.split(local, np.cumsum([len(mine), len(a), len(b)]))
+        used = used.tolist()
+        numbers = (
+            np.array([sizes[u] for u in used]), np.diff(mine, prepend=0), word_n[one[one_at[at] : one_at[at + 1]]],
+            np.diff(a, prepend=0), b, pair_n[p], reached, kids[going][kept], labels, weights[moves],
+        )
+        rows.append((number, b"".join([units[u] for u in used]), *map(pack, numbers)))
+        if len(rows) == 64:
+            yield _shard_rows(rows)
+            rows = []
+    if rows:
+        yield _shard_rows(rows)
+
+
+def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    arrays = [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
+    return pa.RecordBatch.from_arrays(arrays, names=[part.split()[0] for part in SHARD.split(", ")])
 
 
 class Shard:
@@ -208,9 +211,7 @@ class Shard:
             self.clear()
             units = [langs[p >> 32] + b"\t" + words[p & 0xFFFFFFFF] for p in pairs.tolist()]
             del pairs, words
-            batch = transducers(units, ids, joined, self.ranges)
-            for at in range(0, batch.num_rows, 256):
-                yield batch.slice(at, 256)
+            yield from transducers(units, ids, joined, self.ranges)
 
 
 def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -231,32 +232,36 @@ def _units(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def unite(table: pa.Table):
-    """Sum the transducers of a range: its units, (word, n), (first << 32 | second, n), (pair's place << 32 | third, n)."""
-    units, number, unit_at = _units(table)
-
-    def global_ids(name: str) -> tuple[np.ndarray, np.ndarray]:
-        values, bounds = _flat(table, name)
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        return number[values.astype(np.int64) + unit_at[row]], row
-
-    words, _ = global_ids("one")
-    words, word_n = summed(words, _flat(table, "one_n")[0].astype(np.int64))
-    a, row = global_ids("two_a")
-    b, _ = global_ids("two_b")
-    keys = a << 32 | b
-    pairs, pair_n = summed(keys, _flat(table, "two_n")[0].astype(np.int64))
-    labels, _ = global_ids("state_label")
-    weights = _flat(table, "state_n")[0].astype(np.int64)
-    sizes, state_at = _flat(table, "state_size")
-    sizes = sizes.astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    state, _ = _flat(table, "two_state")
-    going = np.flatnonzero(state >= 0)
-    state = state[going].astype(np.int64) + state_at[row[going]]
-    moves = ragged(starts[state], sizes[state])
-    owner = np.repeat(np.searchsorted(pairs, keys[going]), sizes[state])
-    triples, triple_n = summed(owner << 32 | labels[moves], weights[moves])
-    return units, (words, word_n), (pairs, pair_n), (triples, triple_n)
+    """Sum the transducers of a range: its units, (word, n), (first << 32 | second, n), (pair's place << 32 | third, n).
+
+    Numbers are unpacked row by row, as they take several times the room of what holds them.
+    """
+    columns = {name: [c.as_buffer() for c in table.column(name)] for name in table.column_names[1:]}
+    rows = range(table.num_rows)
+    part = lambda name, row: unpack(columns[name][row])
+    names = []
+    for row in rows:
+        bounds = np.concatenate([[0], np.cumsum(part("unit_size", row))]).astype(np.int32)
+        names.append(pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), columns["units"][row]]))
+    at = np.cumsum([0, *map(len, names)])
+    coded = pa.chunked_array(names, pa.binary()).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    units, number = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    del names, coded
+    own = [number[at[row] : at[row + 1]] for row in rows]
+    words = summed(np.concatenate([own[r][np.cumsum(part("one", r))] for r in rows]).astype(np.int64), np.concatenate([part("one_n", r) for r in rows]))
+    keys = [own[r][np.cumsum(part("two_a", r))].astype(np.int64) << 32 | own[r][part("two_b", r)] for r in rows]
+    pairs = summed(np.concatenate(keys), np.concatenate([part("two_n", r) for r in rows]))
+    triples, weights = [], []
+    for row in rows:
+        state, size, label = part("two_state", row), part("state_size", row), part("state_label", row)
+        going = np.flatnonzero(state)
+        state = state[going] - 1
+        moves = ragged((np.cumsum(size) - size)[state], size[state])
+        triples.append(np.repeat(np.searchsorted(pairs[0], keys[row][going]), size[state]) << 32 | own[row][label[moves]])
+        weights.append(part("state_n", row)[moves])
+        keys[row] = None
+    return units, words, pairs, summed(np.concatenate(triples), np.concatenate(weights))
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -321,7 +326,7 @@ def frequent(key, table: pa.Table, least: int, ranges: int) -> pa.Table:
     second = np.concatenate([none(len(single)), ends & 0xFFFFFFFF])
     most = np.concatenate([none(len(single)), most])
     if len(first):
-        hashes = unit_hashes(units.to_pylist())
+        hashes = unit_hashes(units)
         target = np.where(second < 0, prefix_range(hashes[first], None, ranges), prefix_range(hashes[first], hashes[np.maximum(second, 0)], ranges))
         order = np.argsort(target, kind="stable")
         begin = np.flatnonzero(np.diff(target[order], prepend=-1))

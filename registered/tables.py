@@ -83,17 +83,7 @@ ITEM_FIELDS = [
     SearchField("classification", 1.5, exact=True),
     SearchField("department", 1.0, exact=True),
 ]
-ITEM_CLAUSES = Clauses(
-    text=(SearchField("artist", 10.0), SearchField("medium", 6.0)),
-    exact=(
-        SearchField("classification", 5.0, exact=True),
-        SearchField("department", 4.0, exact=True),
-        SearchField("culture", 3.0, exact=True),
-        SearchField("artistNationality", 2.0, exact=True),
-        SearchField("period", 4.0, exact=True),
-        SearchField("dynasty", 3.0, exact=True),
-    ),
-)
+ITEM_CLAUSES = Clauses()
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,13 +51,32 @@ class Scorer(Protocol):
         """Scores of queries ``start:stop`` (rows); minus infinity marks no match."""
 
 
+class BoundedScorer(Scorer, Protocol):
+    """A scorer that can tell which queries a block of documents can't serve, so these are left out."""
+
+    block_rows: int
+
+    def order(self, table: pa.Table) -> pa.Table:
+        """The documents so that like ones stand together."""
+
+    def bounds(self, queries: Any, documents: Any) -> np.ndarray:
+        """What no document of the block can exceed, for each query."""
+
+    def take(self, queries: Any, rows: np.ndarray) -> Any:
+        """Some of the queries, by rising place."""
+
+
 class _Best:
-    """Running best ``k`` documents of every query; ties go to the smaller id."""
+    """Running best ``k`` documents of every query; ties go to the smaller id.
+
+    ``bars`` are scores that the k-th best document of a query is known to reach.
+    """
 
-    def __init__(self, query_ids: list, k: int):
+    def __init__(self, query_ids: list, k: int, bars: np.ndarray | None = None):
         self.k = k
         self.query_ids = query_ids
-        self.bar = np.full(len(query_ids), -np.inf)
+        self.barred = bars is not None
+        self.bar = np.full(len(query_ids), -np.inf) if bars is None else bars.copy()
         self.matches = np.zeros(len(query_ids), np.int64)
         self.rows = np.empty(0, np.int64)
         self.scores = np.empty(0)
@@ -121,25 +141,68 @@ class _Best:
 
 
 def _offer_block(best: _Best, scorer: Scorer, queries: Any, positions: dict, table: pa.Table, exclude_self: bool) -> None:
-    """Score one block of documents, in chunks of queries that bound the memory."""
+    """Score one block of documents, of a scorer with bounds in small blocks of like documents."""
+    if not best.barred:
+        return _offer_part(best, scorer, queries, np.arange(len(best.query_ids)), positions, table, exclude_self)
+    table = scorer.order(table)
+    for start in range(0, table.num_rows, scorer.block_rows):
+        part = table.slice(start, scorer.block_rows).sort_by("doc_id")
+        documents = scorer.documents(part, queries)
+        rows = np.nonzero(scorer.bounds(queries, documents) >= best.bar - _SLACK)[0]
+        if len(rows):
+            chosen = queries if len(rows) == len(best.bar) else scorer.take(queries, rows)
+            _offer_part(best, scorer, chosen, rows, positions, part, exclude_self, documents)
+
+
+def _offer_part(best, scorer, queries, rows: np.ndarray, positions: dict, table: pa.Table, exclude_self: bool, documents=None) -> None:
+    """Score some queries (``rows`` of all) against documents, in chunks of queries that bound the memory."""
     table = table.sort_by("doc_id")
-    documents = scorer.documents(table, queries)
+    documents = scorer.documents(table, queries) if documents is None else documents
     ids = np.array(table["doc_id"].to_pylist(), dtype=object)
-    own = np.array([positions.get(i, -1) for i in ids]) if exclude_self else None
+    own = None
+    if exclude_self:
+        place = np.full(len(best.query_ids) + 1, -1)
+        place[rows] = np.arange(len(rows))
+        own = place[[positions.get(i, -1) for i in ids]]
     step = max(1, CELLS_AT_ONCE // max(1, len(ids)))
-    for start in range(0, len(best.query_ids), step):
-        stop = min(start + step, len(best.query_ids))
+    for start in range(0, len(rows), step):
+        stop = min(start + step, len(rows))
         scores = scorer.score(queries, documents, start, stop)
         if own is not None:
             mine = (own >= start) & (own < stop)
             scores[own[mine] - start, np.nonzero(mine)[0]] = -np.inf
-        best.offer(np.arange(start, stop), scores, ids)
+        best.offer(rows[start:stop], scores, ids)
 
 
 def _setup(scorer: Scorer, query_table: pa.Table, k: int, exclude_self: bool):
     query_ids = query_table["query_id"].to_pylist()
     positions = {q: i for i, q in enumerate(query_ids)} if exclude_self else {}
-    return _Best(query_ids, k), scorer.queries(query_table), positions
+    bars = None
+    if "bar" in query_table.column_names:
+        bars = pc.fill_null(query_table["bar"].combine_chunks(), -np.inf).to_numpy(zero_copy_only=False)
+    return _Best(query_ids, k, bars), scorer.queries(query_table), positions
+
+
+def own_block_bars(both: DataFrame, scorer: Scorer, k: int, query_columns: Sequence[str], rows: int) -> DataFrame:
+    """``query_id, bar``: the ``k``-th best score of each query among the ``rows`` documents it stands with.
+
+    ``both`` holds queries that are documents too, like ones next to each other; the work grows with its rows.
+    """
+    ship_package(both.sparkSession)
+    documents = [c for c in both.columns if c not in query_columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = pa.Table.from_batches([batch.slice(start, rows)])
+                table = part.select(list(query_columns))
+                best, queries, positions = _setup(scorer, table, k, False)
+                renamed = part.select(documents).rename_columns([c.removeprefix("_doc_") for c in documents])
+                _offer_part(best, scorer, queries, np.arange(len(table)), positions, renamed, False)
+                yield pa.record_batch([table["query_id"].combine_chunks(), pa.array(best.bar)], names=["query_id", "bar"])
+
+    schema = T.StructType([T.StructField("query_id", both.schema["query_id"].dataType), T.StructField("bar", T.DoubleType())])
+    return both.mapInArrow(run, schema)
 
 
 def _scan(shared, scorer: Scorer, k: int, exclude_self: bool):

@@ -42,7 +42,7 @@ class FeatureScorer:
         owner = np.repeat(np.arange(len(lists)), lengths)
         flat = lists.flatten()
         names = flat.field("field")
-        sparse = {}
+        sparse = {None: len(lists)}  # the number of queries
         for item in self.fields:
             at = np.nonzero(pc.equal(names, item.name).to_numpy(zero_copy_only=False))[0]
             if not len(at):
@@ -81,6 +81,37 @@ class FeatureScorer:
             sparse[item.name] = (docs, worth, bounds, row_of, matrix)
         return sparse, table.num_rows
 
+    def bounds(self, queries, documents) -> np.ndarray:
+        """What no document of the block exceeds: every term of a query as in the document where it is worth most."""
+        sparse, n = documents
+        total = np.zeros(self.height(queries))
+        for name, (_, worth, bounds, _, _) in sparse.items():
+            _, owner, codes, weights, _ = queries[name]
+            most = np.zeros(len(bounds) - 1)
+            held = np.nonzero(np.diff(bounds))[0]
+            if len(held):
+                most[held] = np.maximum.reduceat(worth, bounds[held])
+            field = np.bincount(owner, weights * most[codes], minlength=len(total))
+            total = np.maximum(total, field) if self.best_field else total + field
+        return total
+
+    def take(self, queries, rows: np.ndarray):
+        place = np.full(self.height(queries), -1)
+        place[rows] = np.arange(len(rows))
+        out = {None: len(rows)}
+        for name, held in queries.items():
+            if name is None:
+                continue
+            vocabulary, owner, codes, weights, average = held
+            own = place[owner]
+            kept = own >= 0
+            out[name] = (vocabulary, own[kept], codes[kept], weights[kept], average)
+        return out
+
+    @staticmethod
+    def height(queries) -> int:
+        return queries[None]
+
     def score(self, queries, documents, start: int, stop: int) -> np.ndarray:
         total = self.sums(queries, documents, start, stop)
         total[total <= 0] = -np.inf

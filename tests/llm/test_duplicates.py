@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import SCHEMA, documents, make_texts, rows, with_clashes, xx
 
 from vitrine.llm import line_chunks, simhash, stream_dedup, winnow
@@ -211,22 +212,73 @@ def test_line_chunks_with_odd_rows(spark):
     assert out.count() == df.count() and out.where("text is null").count() == 1
 
 
-def _without_passages(table, least_lines, least_words):
+def _without_passages(table, least_words):
+    """Chunks where a rolling hash is no larger than a neighbour, long lines, and what is beside a chunk, place by place."""
+    prime, base = line_chunks._PRIME, line_chunks._BASE
     seen, want = set(), {}
     for i, text in table:
-        lines, gone = (text or "").split("\n"), set()
+        lines = (text or "").split("\n")
+        h = [xx(line) % prime for line in lines]
+        rolling = [(x * base + y) % prime for x, y in zip(h, h[1:])]
+        words = [len(line.split()) for line in lines]
+        chunks, weak, gone = set(), set(), set()
         for k in range(len(lines)):
-            run = tuple(lines[k : k + least_lines])
-            found = [run] if len(run) == least_lines else []
-            found += [(lines[k],)] if len(lines[k].split()) >= least_words else []
-            for anchor in found:
-                if anchor in seen:
-                    gone.update(range(k, k + len(anchor)))
-                seen.add(anchor)
+            if words[k] >= least_words:
+                gone |= {k} if lines[k] in seen else set()
+                seen.add(lines[k])
+            if k < len(rolling):
+                near = rolling[max(0, k - 1) : k] + rolling[k + 1 : k + 2]
+                pair = (lines[k], lines[k + 1])
+                if pair in seen:
+                    seed = not near or rolling[k] <= max(near) or words[k] + words[k + 1] >= least_words
+                    (chunks if seed else weak).add(k)
+                seen.add(pair)
+        for k in chunks | {k for k in weak if k - 1 in chunks or k + 1 in chunks}:
+            gone |= {k, k + 1}
         want[i] = ("\n".join(line for k, line in enumerate(lines) if k not in gone) if gone else text, len(gone))
     return want
 
 
+@pytest.mark.parametrize("share", [1, 256])
+def test_passages_equal_place_by_place(spark, monkeypatch, share):
+    monkeypatch.setattr(line_chunks, "PLACES_OF_SHARE", share)
+    rng = random.Random(share)
+    pool = [f"line {i}" for i in range(30)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    texts += ["\n".join([f"own {i}", "hot a", "hot b", "hot c", f"end {i}"]) for i in range(30)] + [None, "", "\n", "a\na\na\na\na"]
+    table = list(enumerate(texts))
+    names = ["gone", "wanted", "__lines", "__row_id", "anchor", "hash", "place", "first", "n", "share", "shares", "__line_gone", "copy"]
+    df = with_clashes(spark.createDataFrame(table, "doc_id long, text string").repartition(3), *names)
+    out = line_chunks.remove_passages(df)
+    assert out.columns == ["doc_id", "text", *names, "removed_lines"]
+    rows = out.collect()
+    assert {r.doc_id: (r.text, r.removed_lines) for r in rows} == _without_passages(table, line_chunks.LEAST_WORDS)
+    assert all(r["__lines"] == r.gone == r["__row_id"] == "clash" for r in rows)
+    assert line_chunks.remove_repeated(df).where("gone = 'clash' AND __row_id = 'clash'").count() == len(table)
+
+
+def test_recall_by_length_of_passage(spark):
+    """Passages between lines of their own: all lines go from three lines up, or from 50 words up."""
+    rng = random.Random(4)
+    own = lambda: f"own {rng.random()}"
+    wordy = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    shapes = {"1 long": [60], "2 long": [30, 30], **{str(k): [2] * k for k in (2, 3, 4, 6, 10, 15)}}
+    texts, of = [], {}
+    for shape, sizes in shapes.items():
+        for _ in range(40):
+            passage = [wordy(n) for n in sizes]
+            for again in range(2):
+                if again:
+                    of[len(texts)] = (shape, len(sizes))
+                texts.append("\n".join([own(), *passage, own()]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    lost = {r.doc_id: r.removed_lines for r in line_chunks.remove_passages(df).collect()}
+    recall = {s: sum(lost[i] for i, (t, _) in of.items() if t == s) / sum(n for t, n in of.values() if t == s) for s in shapes}
+    print(recall)
+    assert all(recall[s] == 1 for s in shapes if s != "2") and recall["2"] > 0.25
+    assert all(lost[i] == 0 for i in lost if i not in of)
+
+
 def test_passages_go_to_their_edges(spark):
     rng = random.Random(9)
     own = lambda: f"own {rng.random()}"
@@ -239,9 +291,9 @@ def test_passages_go_to_their_edges(spark):
     out = line_chunks.remove_passages(df)
     assert out.columns == ["doc_id", "text", "anchor", "removed_lines"]
     got = {r.doc_id: (r.text, r.removed_lines) for r in out.collect()}
-    assert got == _without_passages(table, line_chunks.LEAST_LINES, line_chunks.LEAST_WORDS)
+    assert got == _without_passages(table, line_chunks.LEAST_WORDS)
     n = len(passages)
-    assert [got[i][1] for i in range(n, 2 * n)] == [2, 3, 4, 6, 10, 1]
+    assert [got[i][1] for i in range(n, 2 * n)][1:] == [3, 4, 6, 10, 1]
     assert line_chunks.remove_passages(df.limit(0)).count() == 0
 
 

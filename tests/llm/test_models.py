@@ -92,22 +92,60 @@ def test_language_on_held_out_rows(spark, marked):
     assert all(r.lang_pred == r.lang and r.score > 0.5 for r in rows)
 
 
-def test_language_scores_by_hand(spark):
+@pytest.mark.parametrize("capacity", [0, 2, 100])
+def test_language_scores_by_hand(spark, capacity):
     df = spark.createDataFrame([("en", "The cat the"), ("fr", "le chat, LE"), (None, "lost")], "lang string, text string")
-    model = langid.train(df)
-    scorer = langid.Scorer(model)
-    assert model["languages"] == ["en", "fr"]
+    model = langid.train(df, capacity=capacity)
+    assert model.languages == ["en", "fr"] and len(model.top[0]) == min(capacity, 4)
+    words = spark.createDataFrame([(w,) for w in ("the", "chats", "zzz")], "word string")
+    rated = {r.word: r.scores for r in langid.rate_words(words, model).collect()}
+    by_join = {r.word: r.scores for r in langid.rate_words(words, model, 0).collect()}
+    assert by_join.keys() == rated.keys() and all(by_join[w] == pytest.approx(rated[w]) for w in rated)
     counts = {"en": Counter(the=2, cat=1), "fr": Counter(le=2, chat=1)}
-    word = scorer.score_words(["the"])[0]
     for i, lang in enumerate(("en", "fr")):
-        assert word[i] == pytest.approx(math.log((counts[lang]["the"] + 0.5) / (3 + 0.5 * 5)), abs=1e-5)
+        assert rated["the"][i] == pytest.approx(math.log((counts[lang]["the"] + 0.5) / (3 + 0.5 * 5)))
     grams = {lang: Counter(g for w, n in c.items() for g in [f" {w} "[j : j + 4] for j in range(len(w) - 1)] * n) for lang, c in counts.items()}
     kinds = len(grams["en"] | grams["fr"])
-    unseen = scorer.score_words(["chats"])[0]  # " cha", "chat" are known
-    for i, lang in enumerate(("en", "fr")):
+    for i, lang in enumerate(("en", "fr")):  # of the unseen word " cha" and "chat" are known
         want = np.mean([math.log((grams[lang][g] + 0.5) / (sum(grams[lang].values()) + 0.5 * (kinds + 1))) for g in (" cha", "chat")])
-        assert unseen[i] == pytest.approx(want, abs=1e-5)
-    assert scorer.score_words(["zzz"]).tolist() != []
+        assert rated["chats"][i] == pytest.approx(want)
+    got = langid.identify(spark.createDataFrame([(1, "the chats THE")], "doc_id long, text string"), model).first()
+    sums = [(2 * rated["the"][i] + rated["chats"][i]) / math.sqrt(3) for i in range(2)]
+    assert got.lang_pred == "en" and got.score == pytest.approx(1 / sum(math.exp(x - max(sums)) for x in sums))
+
+
+def test_every_language_score_is_the_same_whatever_is_broadcast(spark):
+    """Random words of three languages, most of them rare, and unseen ones."""
+    rng = random.Random(5)
+    stems = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(150)] for lang, letters in (("a", "abcdeé"), ("b", "cdefgß"), ("c", "efghiш"))}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=rng.randint(0, 30))), lang) for i in range(120) for lang in ("abc"[i % 3],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    asked = spark.createDataFrame([(i, t + " neu unseén", None) for i, t, _ in rows] + [(-1, None, None), (-2, "qqq", None)], df.schema)
+    results = []
+    for capacity in (0, 40, 10**6):
+        out = langid.identify(asked, langid.train(df, capacity=capacity))
+        results.append({r.doc_id: (r.lang_pred, round(r.score, 9)) for r in out.collect()})
+    assert results[0] == results[1] == results[2] and len(results[0]) == 122
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    """Under one row in a hundred, its words seen once or twice, and less broadcast than the large languages alone have."""
+    rng = random.Random(8)
+
+    def words(letters, n):
+        return ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n)]
+
+    large = {"en": words("aeiorstnlh", 1500), "de": words("aeunrstdgch", 1500)}
+    small = words("aeorstnlíkjv", 400)
+    rows = [(i, " ".join(rng.choices(large["en" if i % 2 else "de"], k=40)), "en" if i % 2 else "de") for i in range(3000)]
+    rows += [(3000 + i, " ".join(rng.choices(small, k=25)), "is") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(docs, capacity=2000)
+    held = spark.createDataFrame([(i, " ".join(rng.choices(small, k=20)), "is") for i in range(60)], docs.schema)
+    right = sum(r.lang_pred == "is" for r in langid.identify(held, model).collect())
+    assert right >= 57
+    others = [(i, " ".join(rng.choices(large["en"], k=20)), "en") for i in range(60)]
+    assert all(r.lang_pred == "en" for r in langid.identify(spark.createDataFrame(others, docs.schema), model).collect())
 
 
 def test_language_of_odd_rows(spark, marked):
@@ -121,7 +159,7 @@ def test_language_of_odd_rows(spark, marked):
     assert langid.identify(df.limit(0), model).count() == 0
     none = langid.train(marked[0].limit(0))
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {langid.UNKNOWN}
-    assert len(langid.train(marked[0], capacity=5)["words"]) <= 5
+    assert len(langid.train(marked[0], capacity=5).top[0]) <= 5
 
 
 URLS = [

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -257,6 +258,18 @@ def test_passages_equal_place_by_place(spark, monkeypatch, share):
     assert line_chunks.remove_repeated(df).where("gone = 'clash' AND __row_id = 'clash'").count() == len(table)
 
 
+def test_passages_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_chunks, "_anchor_hash", lambda *lines: F.length(lines[0]).cast("long"))
+    rng = random.Random(6)
+    pool = [f"line {i}" for i in range(12)]
+    table = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    rows = line_chunks.remove_passages(df).collect()
+    assert {r.doc_id: (r.text, r.removed_lines) for r in rows} == _without_passages(table, line_chunks.LEAST_WORDS)
+
+
 def test_recall_by_length_of_passage(spark):
     """Passages between lines of their own: all lines go from three lines up, or from 50 words up."""
     rng = random.Random(4)
@@ -340,6 +353,47 @@ def test_stream_continues_from_its_state(spark, tmp_path):
     assert again == {1: (9, 3), 2: (2, 1), 3: (9, 3), 9: (9, 3), 4: (4, 1)}
 
 
+def test_stream_continues_with_new_files_only(spark, tmp_path):
+    """What earlier files put into the state counts, though the path holds new files only."""
+    first, second = (str(tmp_path / n) for n in ("first", "second"))
+    spark.createDataFrame([(1, "A"), (2, "b"), (3, "a"), (5, "alone")], "doc_id long, text string").write.parquet(first)
+    spark.createDataFrame([(9, "a"), (0, "B"), (7, "new")], "doc_id long, text string").write.parquet(second)
+    checkpoint = str(tmp_path / "state")
+    rows = lambda path: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in stream_dedup.duplicates(spark, path, checkpoint=checkpoint).collect()}
+    assert rows(first) == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 5: (5, 1, True)}
+    assert rows(second) == {9: (9, 3, True), 0: (2, 2, False), 7: (7, 1, True)}
+
+
+def test_located_bytes_tell_texts_of_one_digest_apart(spark, tmp_path):
+    """The row that stays lies in an earlier file; its bytes are fetched from there and differ."""
+    weak = lambda text: text[:1]
+    first, second = (str(tmp_path / n) for n in ("first", "second"))
+    spark.createDataFrame([(8, "xa")], "doc_id long, text string").write.parquet(first)
+    spark.createDataFrame([(3, "xb"), (4, "XA"), (5, "xb")], "doc_id long, text string").write.parquet(second)
+    checkpoint = str(tmp_path / "state")
+    rows = lambda path: {r.doc_id: (r.keep_id, r.group_size) for r in stream_dedup.duplicates(spark, path, checkpoint=checkpoint, digest=weak).collect()}
+    assert rows(first) == {8: (8, 1)}
+    assert rows(second) == {3: (5, 2), 4: (8, 2), 5: (5, 2)}
+
+
+def test_stream_reserves_no_disk_and_splits_hot_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_dedup, "ROWS_OF_SHARE", 3)
+    table = [(i, "hot" if i % 3 else f"own {i}") for i in range(90)]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    # The stores' own folder of this session.
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    size = lambda: sum(f.lstat().st_blocks * 512 for f in local.rglob("*") if f.is_file())
+    try:
+        start = size()
+        rows = {r.doc_id: (r.keep_id, r.group_size) for r in stream_dedup.duplicates(spark, str(tmp_path / "in")).collect()}
+        assert 0 < size() - start < 100 << 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows == {i: ((89, 60) if i % 3 else (i, 1)) for i in range(90)}
+
+
 def test_stream_of_one_file_and_of_none(spark, tmp_path):
     import pyarrow.parquet as pq
 

@@ -27,6 +27,7 @@ LEAST_LINES = 2
 LEAST_WORDS = 50
 #: Places of one anchor that are compared with its first one in one share.
 PLACES_OF_SHARE = 256
+_anchor_hash = F.xxhash64
 _PRIME, _BASE = (1 << 31) - 1, 1_000_003
 
 
@@ -115,9 +116,9 @@ def _anchors(df: DataFrame, lines: str, out: str, least_words: int) -> DataFrame
     def of_pair(h: Column, i: Column) -> Column:
         chosen = (h <= hash_at(i + 1)) | ((i > 0) & (h <= hash_at(i - 1))) | (F.size(rolling) == 1)
         long = F.get(F.col(words), i) + F.get(F.col(words), i + 1) >= least_words
-        return anchor(i, 2, F.xxhash64(line(i), line(i + 1)), F.coalesce(chosen, F.lit(False)) | long)
+        return anchor(i, 2, _anchor_hash(line(i), line(i + 1)), F.coalesce(chosen, F.lit(False)) | long)
 
-    single = F.transform(words, lambda n, i: F.when(n >= least_words, anchor(i, 1, F.xxhash64(line(i)), F.lit(True))))
+    single = F.transform(words, lambda n, i: F.when(n >= least_words, anchor(i, 1, _anchor_hash(line(i)), F.lit(True))))
     return df.withColumn(out, F.concat(F.transform(rolling, of_pair), F.filter(single, lambda a: a.isNotNull()))).drop(rolling, words)
 
 
@@ -151,14 +152,23 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Named twice, so that the planner does not cut the text anew for each anchor.
     hits = held.select(row, copy, F.inline_outer(F.when(F.size(lines) > 0, texts)))
     # A passage that a third of the texts hold is one row of this table for each task that had it.
-    firsts = hits.groupBy("hash", "anchor").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    compared = hits.groupBy("hash", "anchor").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    compared = compared.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.max(F.struct("n", "first", "last")).alias("most"))
+    compared = stage(compared.select("hash", "texts", F.inline(F.array("most"))))
+    # One text per hash, so places are told by the hash from here on and their texts stay where they are.
+    firsts = compared.where("texts = 1 AND first <> last").select("hash", "first", F.ceil(F.col("n") / PLACES_OF_SHARE).cast("int").alias("shares"))
     # What many places share is dealt out in as many shares as its rows need.
-    firsts = firsts.select("hash", "anchor", "first", F.ceil(F.col("n") / PLACES_OF_SHARE).cast("int").alias("shares"))
-    hot = firsts.where("shares > 1").groupBy("hash").agg(F.max("shares").alias("shares"))
-    shared = firsts.select("hash", "anchor", "first").join(hot, "hash", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    shared = shared.select("hash", "anchor", "first", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    dealt = hits.join(hot, "hash", "left").withColumn("share", F.pmod(F.xxhash64(row, copy, "place"), F.coalesce("shares", F.lit(1))).cast("int"))
-    others = dealt.join(shared, ["hash", "anchor", "share"]).where(~at.eqNullSafe(F.col("first")))
+    hot = stage(firsts.where("shares > 1").select("hash", F.col("shares").alias("dealt")))
+    shared = firsts.select("hash", "first", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    found = chosen.select(row, copy, F.inline(wanted)).join(hot, "hash", "left")
+    found = found.withColumn("share", F.pmod(F.xxhash64(row, copy, "place"), F.coalesce("dealt", F.lit(1))).cast("int"))
+    keep = [row, copy, "place", "width", "seed"]
+    others = found.join(shared, ["hash", "share"]).where(~at.eqNullSafe(F.col("first"))).select(*keep)
+    several = compared.where("texts > 1").select("hash")
+    if not several.isEmpty():  # different texts with one hash are told apart by their bytes
+        apart = hits.join(several, "hash", "left_semi")
+        own_first = apart.groupBy("hash", "anchor").agg(F.min(at).alias("first"))
+        others = others.unionByName(apart.join(own_first, ["hash", "anchor"]).where(~at.eqNullSafe(F.col("first"))).select(*keep))
     matched = others.groupBy(row, copy).agg(F.collect_set(F.struct("place", "width", "seed")).alias("matched"))
     places_of = lambda keep: F.transform(F.filter("matched", keep), lambda a: a["place"])
     chunks, rest = places_of(lambda a: a["seed"] & (a["width"] == 2)), places_of(lambda a: ~a["seed"])

@@ -25,6 +25,8 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Rows of one text that are decided in one share.
+ROWS_OF_SHARE = 256
 #: Files that one micro-batch takes in.
 FILES_PER_BATCH = 1000
 
@@ -95,29 +97,54 @@ def retained(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
+def _located(spark: SparkSession, table: DataFrame, state: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """The rows that stay of hit digests and lie in files that ``table`` doesn't read, fetched by their place; None without any."""
+    own = table.select(F.col("_metadata.file_path").alias("place")).distinct()
+    elsewhere = stage(state.where("group_size > 1").join(own, "place", "left_anti").select(F.col("keep_id").alias("__kept"), "place"))
+    files = [r.place for r in elsewhere.select("place").distinct().collect()]  # names of files, not rows
+    if not files:
+        return None
+    rows = spark.read.schema(table.schema).parquet(*files).select(id_col, text_col, F.col("_metadata.file_path").alias("__place"))
+    found = rows.join(elsewhere, (F.col("__place") == F.col("place")) & F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return found.select(id_col, text_col)
+
+
 def duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, digest=sha256) -> DataFrame:
     """``id_col``, ``keep_id``, ``group_size``, ``kept`` and ``digest`` of every row of the files in ``path``.
 
     Texts are equal when their bytes are, A-Z in lower case; null counts as empty. Of a group the largest id stays;
     a null id is below all others, and rows that repeat an id share its decision. An empty table gives no rows;
-    other columns are left out. ``checkpoint`` is the folder of a stream to continue, a new one by default.
+    other columns are left out. ``checkpoint`` is the folder of a stream to continue, a new one by default; rows of
+    files that it took in before count, also where ``path`` no longer holds these files.
+
+    ``keep_id`` and ``group_size`` are those of the state. The bytes of all hits are compared, those of a row that
+    stays in an earlier file being fetched from its place. Should texts that differ share a digest, their bytes decide
+    over the rows at hand instead.
     """
+    continued = checkpoint is not None
     checkpoint = checkpoint or f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
     ingest(spark, path, checkpoint, id_col, text_col, digest)
     state = stage(retained(spark, checkpoint))
-    table = spark.read.parquet(path).select(id_col, text_col)
+    whole = spark.read.parquet(path)
+    table = whole.select(id_col, text_col)
+    located = _located(spark, whole, state, id_col, text_col) if continued else None
     # The bytes of all hits, one row per distinct text: tasks merge equal copies before anything is shuffled.
     hit = state.where("group_size > 1").select("digest")
     texts = (
-        normalised(table, id_col, text_col, True, digest)
+        normalised(table if located is None else table.unionByName(located), id_col, text_col, True, digest)
         .join(hit, "digest", "left_semi")
         .groupBy("digest", "bytes")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(id_col).alias("keep_id"))
     )
-    compared = stage(texts.select("digest", "keep_id", "group_size"))
-    several = compared.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    known = state.where("group_size = 1").select("digest", "keep_id", "group_size").union(compared.join(several, "digest", "left_anti"))
-    rows = normalised(table, id_col, text_col, False, digest).join(known, "digest")
+    several = stage(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    decided = state.select("digest", "keep_id", "group_size").join(several, "digest", "left_anti")
+    # A text that a third of the rows hold is decided in as many shares as its rows need.
+    hot = stage(decided.where(F.col("group_size") > ROWS_OF_SHARE).select("digest", F.ceil(F.col("group_size") / ROWS_OF_SHARE).cast("int").alias("dealt")))
+    shares = F.ceil(F.col("group_size") / ROWS_OF_SHARE).cast("int")
+    known = decided.select("digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)).alias("share"))
+    hashed = normalised(table, id_col, text_col, False, digest).join(hot, "digest", "left")
+    share = F.pmod(F.xxhash64(F.col(id_col)), F.coalesce("dealt", F.lit(1))).cast("int")
+    rows = hashed.withColumn("share", share).drop("dealt").join(known, ["digest", "share"]).drop("share")
     if not several.isEmpty():  # different texts with one digest are told apart by their bytes
         again = normalised(table, id_col, text_col, True, digest).join(several, "digest", "left_semi")
         rows = rows.unionByName(again.join(texts, ["digest", "bytes"]).drop("bytes"))

@@ -14,6 +14,10 @@ from vitrine.operators.knn import semantic_search
 from vitrine.plans import jobs, query_cache
 from vitrine.session import shared_dir
 from vitrine.sources import files, store
+from vitrine.sources.buckets import BucketStore
+from vitrine.sources.quoted_csv import read_quoted_catalogue
+from vitrine.streaming.ingest import ingest_into
+from vitrine.streaming.query_keys import needing_vectors, rocksdb_state
 
 
 def _folder(spark) -> str:
@@ -145,7 +149,72 @@ def embed_missing(spark, sf_dir):
     return fresh.select("cache_key", F.size("jina_v3").alias("text_dims"), F.size("siglip2").alias("image_dims"))
 
 
+def csv_multi_line(spark, sf_dir):
+    """Documents as one CSV file with a byte order mark, quotes and line ends in values, read by byte ranges."""
+    path = _folder(spark)
+    docs = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("\ufeffdoc_id"), "text", "source")
+    whole = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    docs.coalesce(1).write.options(**whole).csv(path, header=True)
+    wanted = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "text", "source", "missing")])
+    return read_quoted_catalogue(spark, path, wanted)
+
+
+def store_updates(spark, sf_dir):
+    """A stored collection that is changed twice, a fifth of it deleted and some of it added to."""
+    docs = R.table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("note"), "n_chars")
+    stored = BucketStore(spark, _folder(spark))
+    stored.create(docs, "doc_id", 16)
+    note = lambda n, text: docs.where(F.pmod("doc_id", F.lit(n)) == 0).select("doc_id", F.lit(text).alias("note"))
+    stored.update(note(2, "even"), ["note"])
+    stored.update(note(3, "third").unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("unknown").alias("note"))), ["note"])
+    stored.delete(docs.where(F.pmod("doc_id", F.lit(5)) == 4).select("doc_id"))
+    more = docs.where("n_chars % 7 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "source", F.lit("new").alias("note"), "n_chars")
+    stored.upsert(more, [F.desc("n_chars")])
+    return stored.read()
+
+
+_TURN = "conv_id long, turn long, role string, n_chars int"
+
+
+def ingest_stream(spark, sf_dir):
+    """Turns that arrive in files, a batch each, into a table of the newest turn of every conversation."""
+    turns = R.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.char_length("text").alias("n_chars"))
+    arriving = _folder(spark)
+    files.write_jsonl(turns.repartition(5, "turn"), arriving)
+    stored = BucketStore(spark, _folder(spark))
+    stored.create(spark.createDataFrame([], _TURN), "conv_id", 8)
+    stream = ingest_into(spark, arriving, _TURN, stored, _folder(spark), "turn", files_per_batch=2)
+    stream.awaitTermination()
+    return stored.read()
+
+
+def _asked(spark, sf_dir):
+    """The first word of each user turn as a query, two hours apart."""
+    turns = R.table(spark, sf_dir, "conversations").where("role = 'user'")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("conv_id") * 5 + F.col("turn")) * 7200)
+    return turns.select(F.substring_index("text", " ", 1).alias("text"), at.alias("ts"))
+
+
+def query_stream(spark, sf_dir):
+    """The queries of a stream that need vectors, as each use within the week renews what is there."""
+    arriving, out = _folder(spark), _folder(spark)
+    _asked(spark, sf_dir).coalesce(1).write.parquet(arriving)
+    before = rocksdb_state(spark)
+    try:
+        asked = spark.readStream.schema("text string, ts timestamp").parquet(arriving)
+        sink = needing_vectors(spark, asked).writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark))
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return spark.read.schema("cache_key string, text string, ts timestamp").parquet(out)
+
+
 QUERIES = {
+    "csv_multi_line": csv_multi_line,
+    "store_updates": store_updates,
+    "ingest_stream": ingest_stream,
+    "query_stream": query_stream,
     "csv_scan": csv_scan,
     "jsonl_last_line": jsonl_last_line,
     "jsonl_rows": jsonl_rows,
@@ -160,6 +229,23 @@ QUERIES = {
 }
 
 ORACLE = {
+    "csv_multi_line": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, '' AS missing FROM documents",
+    "store_updates": """
+SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'third' WHEN doc_id % 2 = 0 THEN 'even' END AS note, n_chars FROM documents WHERE doc_id % 5 <> 4
+UNION ALL SELECT doc_id + 1000000, source, 'new', n_chars FROM documents WHERE n_chars % 7 = 0""",
+    "ingest_stream": """
+SELECT conv_id, turn, role, CAST(length(text) AS INT) AS n_chars FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
+    "query_stream": f"""
+WITH RECURSIVE asked AS (
+  SELECT {E._key('word')} AS cache_key, word AS text, moment, row_number() OVER (PARTITION BY {E._key('word')} ORDER BY moment, word) AS n
+  FROM (SELECT split_part(text, ' ', 1) AS word, 1704067200 + (conv_id * 5 + turn) * 7200 AS moment FROM conversations WHERE role = 'user')),
+used AS (
+  SELECT cache_key, text, moment, n, moment AS made, true AS passed FROM asked WHERE n = 1
+  UNION ALL
+  SELECT a.cache_key, a.text, a.moment, a.n, CASE WHEN a.moment - made > 3600 THEN a.moment ELSE made END, a.moment - made >= 604800
+  FROM used JOIN asked a ON a.cache_key = used.cache_key AND a.n = used.n + 1)
+SELECT cache_key, text, make_timestamp(moment * 1000000)::TIMESTAMP AS ts FROM used WHERE passed""",
     "csv_scan": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, '' AS p_missing FROM part",
     "jsonl_last_line": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "jsonl_rows": "SELECT 'events' AS file, count(*) AS rows FROM events UNION ALL SELECT 'missing', 0::BIGINT",

@@ -206,6 +206,21 @@ def test_url_rules_and_models(spark):
     assert {r.score for r in url_filter.judge(df, []).collect()} == {0.5}
 
 
+def test_urls_are_read_to_their_end(spark, monkeypatch):
+    """URLs that differ in their query or fragment alone, one very long; working columns don't clash."""
+    monkeypatch.setattr(url_filter, "TEXTS_OF_COPY", 7)
+    urls = [f"http://a{i}.org/x?ref=good{i}" for i in range(60)] + [f"http://a{i}.com/de/x?ref=spam{i}#win" for i in range(60)]
+    asked = ["http://b.net/x?ref=good7", "http://b.net/x?ref=spam7#win", "http://b.net/x", "x?ref=good1", "http://b.net/" + "y" * 60_000]
+    names = ["difference", "__found_text", "__url_text", "text", "id", "gram"]
+    rows = [(i, u, *["clash"] * len(names)) for i, u in enumerate(urls + asked)]
+    df = spark.createDataFrame(rows, ", ".join(["page_id long, url string", *[f"`{n}` string" for n in names]])).repartition(3)
+    found = url_filter.judge(df, URL_RULES).collect()
+    assert len(found) == len(rows) and all(r[n] == "clash" for r in found for n in names)
+    out = {r.page_id: r for r in found}
+    good, spam, plain, bare, _ = (out[len(urls) + i] for i in range(5))
+    assert good.verdict == "allow" and spam.verdict == "block" and good.score > plain.score > spam.score and bare.score != 0.5
+
+
 def test_markov_smoothing_by_hand(spark):
     texts = ["ab", "abab", "b"]
     df = spark.createDataFrame([("allow", t) for t in texts], "verdict string, text string").repartition(2)

@@ -1,6 +1,6 @@
 """URL filter: rules first, then the ratio of two character language models.
 
-URLs that rules accept or reject train one smoothed variable-order Markov model each. Where no rule fits, the
+Whole URLs that rules accept or reject train one smoothed variable-order Markov model each. Where no rule fits, the
 difference of the log-likelihoods per character, calibrated on URLs that were kept out of the models, decides.
 
 The counts of all contexts stay a table. What a place of a text adds to the difference depends on its gram alone, the
@@ -28,9 +28,10 @@ CAPACITY = 400_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One in how many URLs is kept out of the models, and the steps in which their differences are counted.
 _HELD_OUT, _STEPS = 5, 64
-#: Bits of a byte in a gram (0: before and after the text), the unit in which rates are summed exactly, and over how
-#: many keys a gram that is in most URLs is spread.
-_SYMBOL, _UNIT, _SALTS = 9, 1e-9, 8
+#: Bits of a byte in a gram (0: before and after the text), and the unit in which rates are summed exactly.
+_SYMBOL, _UNIT = 9, 1e-9
+#: Texts that meet one copy of a gram's rate; a gram of more texts has as many copies as they need.
+TEXTS_OF_COPY = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -215,9 +216,13 @@ def text_differences(texts: DataFrame) -> DataFrame:
     held = counts.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     if not held.allow or not held.block:
         return texts.select("text", "verdict", "out", "n", F.lit(0.0).alias("difference"))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])).alias("salt")
-    rates = rated(grams.select("gram").distinct(), counts).select("gram", F.round(F.col("rate") / _UNIT).cast("long").alias("rate"), salts)
-    each = grams.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(rates, ["gram", "salt"])
+    distinct = stage(grams.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / TEXTS_OF_COPY).cast("int").alias("copies")))
+    hot = stage(distinct.where("copies > 1").withColumnRenamed("copies", "dealt"))
+    rates = rated(distinct.select("gram"), counts).join(distinct, "gram").select(
+        "gram", F.round(F.col("rate") / _UNIT).cast("long").alias("rate"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
+    )
+    dealt = grams.join(hot, "gram", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("dealt", F.lit(1))).cast("int"))
+    each = dealt.join(rates, ["gram", "salt"])
     total = each.groupBy("id").agg((F.sum(F.col("n") * F.col("rate")) * _UNIT / F.sum("n")).alias("difference"))
     return texts.join(total, "id").select("text", "verdict", "out", "n", "difference")
 
@@ -253,23 +258,24 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", kee
     """``df`` with ``host``, ``path``, ``rule``, ``verdict`` and ``score`` of every URL.
 
     ``rules`` are pairs of ``allow`` or ``block`` and host with path. ``score`` is the calibrated probability of
-    ``allow`` by the models; it decides from ``threshold`` on where no rule fits, so also for null and empty URLs.
+    ``allow`` by the models, which read the whole URL; it decides from ``threshold`` on where no rule fits, so also for null and empty URLs.
     With URLs of one verdict only there is nothing to compare and scores are one half. Repeated rows are judged
     alike, an empty table gives no rows, columns of these names are replaced.
     """
     new = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in (keep or df.columns) if c.lower() not in new]
-    host, path, rule, text = (fresh(f"__{n}", df.columns) for n in ("host", "path", "rule", "text"))
-    rows = df.select(*[F.col(quoted(c)) for c in kept], host_of(F.col(quoted(url_col))).alias(host), path_of(F.col(quoted(url_col))).alias(path))
-    rows = rows.withColumn(rule, rule_for(F.col(host), F.col(path), rules)).withColumn(text, F.concat(host, path))
+    names = ("host", "path", "rule", "text", "found_text", "found_verdict", "difference")
+    host, path, rule, text, found_text, found_verdict, difference = (fresh(f"__url_{n}", df.columns) for n in names)
+    rows = df.select(*[F.col(quoted(c)) for c in kept], host_of(F.col(quoted(url_col))).alias(host), path_of(F.col(quoted(url_col))).alias(path), F.coalesce(F.col(quoted(url_col)), F.lit("")).alias(text))
+    rows = rows.withColumn(rule, rule_for(F.col(host), F.col(path), rules))
     verdict = F.col(f"{rule}.verdict")
     out = F.pmod(F.xxhash64("text"), F.lit(_HELD_OUT)) == 0
     texts = rows.groupBy(F.col(text).alias("text"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n")).withColumn("out", out)
     found = stage(text_differences(texts))
     slope, offset = calibrate(found.where(F.col("verdict").isNotNull() & F.col("out")))
-    same = (F.col(text) == F.col("__found_text")) & verdict.eqNullSafe(F.col("__found_verdict"))
-    scored = rows.join(found.select(F.col("text").alias("__found_text"), F.col("verdict").alias("__found_verdict"), "difference"), same)
-    score = 1 / (1 + F.exp(-(F.col("difference") * slope + offset)))
+    same = (F.col(text) == F.col(found_text)) & verdict.eqNullSafe(F.col(found_verdict))
+    scored = rows.join(found.select(F.col("text").alias(found_text), F.col("verdict").alias(found_verdict), F.col("difference").alias(difference)), same)
+    score = 1 / (1 + F.exp(-(F.col(difference) * slope + offset)))
     own = F.when(score >= threshold, "allow").otherwise("block")
     return scored.select(
         *[F.col(quoted(c)) for c in kept], F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{rule}.rule").alias("rule"),

@@ -75,11 +75,19 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete all tables staged so far, once the results that read them are done; gives their number."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = len(_STAGED)
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+def staged_so_far() -> int:
+    """A mark for ``drop_staged``: how many tables are staged by now."""
+    return len(_STAGED)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables staged so far, or since a mark, once the results that read them are done; gives their number."""
+    dropped = len(_STAGED) - since
+    while len(_STAGED) > since:
+        delete_path(spark, _STAGED.pop())
     return dropped

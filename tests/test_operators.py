@@ -14,7 +14,7 @@ from vitrine.operators.fuzzy import _swap_distance, expand_terms
 from vitrine.operators.knn import semantic_search, similar_by_vector
 from vitrine.operators.lsh import approximate_search, recall
 from vitrine.operators.metadata_similarity import Clauses, similar_by_metadata
-from vitrine.operators.tags import tag_facet, tag_search
+from vitrine.operators.tags import tag_facet, tag_matches, tag_search
 from vitrine.operators.terms import SearchField, TextIndex
 from vitrine.plans.search import SearchOptions, hybrid_models, hybrid_search, multi_mode_search
 from vitrine.plans.similar import combined_similar, similar_views
@@ -383,3 +383,13 @@ def test_hybrid_models():
     assert hybrid_models("image", ["jina_v3"]) == []
     assert hybrid_models("both", ["siglip2"]) == ["siglip2"]
     assert hybrid_models("image", ["jina_v3"], fallback=True) == []
+
+
+def test_tag_search_of_few_lists_leaves_the_corpus_in_place(spark):
+    """Few tag lists are known to be few: the corpus, a row per tag, is not sorted by tag for them."""
+    corpus = spark.range(2_000).selectExpr("id AS doc_id", "array(concat('a', id % 7), concat('b', id % 5), 'c') AS tags").repartition(3)
+    queries = spark.createDataFrame([(1, ["c", "a1"]), (2, ["a1", "c"]), (3, ["b0", "zz"]), (4, None)], "query_id long, tags array<string>")
+    found = tag_search(queries, corpus, 3)
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()) == [(q, 1 + 7 * i, i + 1) for q in (1, 2) for i in range(3)]
+    plan = tag_matches(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

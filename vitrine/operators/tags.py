@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine import constants as C
 from vitrine.functions.scoring import idf
 from vitrine.operators.ranking import top_n
+from vitrine.session import stage
 
 
 def contains_tag(tags: Column, tag: str | Column) -> Column:
@@ -35,8 +36,9 @@ def tag_matches(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     document_tags = _doc_tags(corpus)
     frequency = document_tags.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     n_docs = corpus.where(has_tags(F.col("tags"))).agg(F.count(F.lit(1))).scalar()
-    # Each query looks up its rarest tag only and checks the others on the spot.
-    lookups = (
+    # Each query looks up its rarest tag only and checks the others on the spot. Staged, so that few lookups are known
+    # to be few and the corpus, one row per tag, is neither dealt nor sorted for them.
+    lookups = stage(
         queries.select("query_id", F.explode("tags").alias("tag"))
         .join(frequency, "tag", "left")
         .groupBy("query_id")
@@ -60,9 +62,11 @@ def tag_matches(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def tag_search(queries: DataFrame, corpus: DataFrame, size: int = C.DEFAULT_SIZE) -> DataFrame:
     """Ranked list ``query_id, doc_id, score, rank``; equal tag lists are searched once."""
     asked = queries.select("query_id", F.array_sort("tags").alias("tags"))
-    distinct = asked.select(F.col("tags").alias("query_id"), "tags").distinct()
-    ranked = top_n(tag_matches(distinct, corpus), size).withColumnRenamed("query_id", "tags")
-    return asked.join(ranked, "tags").select("query_id", "doc_id", "score", "rank")
+    # Hits carry a number for their tag list: sorted by the list itself, they take several times the memory.
+    distinct = stage(asked.select("tags").distinct().withColumn("_list", F.monotonically_increasing_id()))
+    hits = tag_matches(distinct.select(F.col("_list").alias("query_id"), "tags"), corpus)
+    ranked = top_n(hits, size).withColumnRenamed("query_id", "_list")
+    return asked.join(distinct, "tags").join(ranked, "_list").select("query_id", "doc_id", "score", "rank")
 
 
 def tag_facet(corpus: DataFrame, size: int = C.FACET_SIZE) -> DataFrame:

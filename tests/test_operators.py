@@ -387,9 +387,14 @@ def test_hybrid_models():
 
 def test_tag_search_of_few_lists_leaves_the_corpus_in_place(spark):
     """Few tag lists are known to be few: the corpus, a row per tag, is not sorted by tag for them."""
-    corpus = spark.range(2_000).selectExpr("id AS doc_id", "array(concat('a', id % 7), concat('b', id % 5), 'c') AS tags").repartition(3)
+    corpus = spark.range(20_000).selectExpr("id AS doc_id", "array(concat('a', id % 7), concat('b', id % 5), 'c') AS tags").repartition(3)
     queries = spark.createDataFrame([(1, ["c", "a1"]), (2, ["a1", "c"]), (3, ["b0", "zz"]), (4, None)], "query_id long, tags array<string>")
     found = tag_search(queries, corpus, 3)
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()) == [(q, 1 + 7 * i, i + 1) for q in (1, 2) for i in range(3)]
-    plan = tag_matches(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 60_000)  # less than the corpus
+    try:
+        plan = tag_matches(queries, corpus)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

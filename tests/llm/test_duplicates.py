@@ -403,3 +403,9 @@ def test_stream_of_one_file_and_of_none(spark, tmp_path):
     empty = str(tmp_path / "empty")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(empty)
     assert stream_dedup.duplicates(spark, empty).count() == 0
+
+
+def test_passages_are_looked_for_once(spark):
+    """The texts are cut into anchors to find candidates and once more for their places, not again for the result."""
+    out = line_chunks.remove_passages(documents(spark).select("doc_id", "text"))
+    assert "regexp_count" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -143,7 +143,8 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.struct(row, copy, "place")
     # Candidates by hash alone; only their texts are compared.
     candidates = stage(places.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("hash"))
-    chosen = places.join(candidates, "hash", "left_semi").groupBy(row, copy).agg(F.collect_set(F.struct("place", "width", "hash", "seed")).alias(wanted))
+    # Read twice below: to compare texts and to find places.
+    chosen = stage(places.join(candidates, "hash", "left_semi").groupBy(row, copy).agg(F.collect_set(F.struct("place", "width", "hash", "seed")).alias(wanted)))
     # Both joins read the same shuffle of the texts if there are no columns but id and text.
     rows = df.select(*[F.col(quoted(c)) for c in columns], F.xxhash64(own).alias(name["own"]))
     same = F.col(quoted(id_col)).eqNullSafe(F.col(row)) & (F.col(name["own"]) == F.col(copy))

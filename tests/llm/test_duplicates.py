@@ -408,4 +408,4 @@ def test_stream_of_one_file_and_of_none(spark, tmp_path):
 def test_passages_are_looked_for_once(spark):
     """The texts are cut into anchors to find candidates and once more for their places, not again for the result."""
     out = line_chunks.remove_passages(documents(spark).select("doc_id", "text"))
-    assert "regexp_count" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "__line_anchors" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -150,11 +150,11 @@ def embed_missing(spark, sf_dir):
 
 
 def csv_multi_line(spark, sf_dir):
-    """Documents as one CSV file with a byte order mark, quotes and line ends in values, read by byte ranges."""
+    """Documents as CSV files, one per task, with byte order marks, quotes and line ends in values, read by byte ranges."""
     path = _folder(spark)
     docs = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("\ufeffdoc_id"), "text", "source")
     whole = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    docs.coalesce(1).write.options(**whole).csv(path, header=True)
+    docs.write.options(**whole).csv(path, header=True)
     wanted = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "text", "source", "missing")])
     return read_quoted_catalogue(spark, path, wanted)
 

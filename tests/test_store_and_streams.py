@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from registered import storage_queries
 from vitrine import constants as C
 from vitrine.sources.buckets import BucketStore, Conflict
 from vitrine.sources.quoted_csv import read_quoted_catalogue, read_records
@@ -164,3 +165,21 @@ def test_csv_records_across_ranges(spark, tmp_path, bytes_):
 def test_csv_without_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,text\n")
     assert read_quoted_catalogue(spark, str(tmp_path), HEAD).count() == 0
+
+
+def test_csv_query_writes_a_file_per_task(spark, tmp_path, monkeypatch):
+    """No task writes all rows; texts that span lines, and each file's mark and header, are read as before."""
+    rows = [(i, None if i % 7 == 0 else f'line "{i}"\nnext, {i}', "web" if i % 2 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs.write.option("maxRecordsPerFile", 10).parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(storage_queries, "_folder", lambda _: str(tmp_path / "csv"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2k")
+    try:
+        got = storage_queries.csv_multi_line(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted((str(i), text or "", source or "", "") for i, text, source in rows)
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) > 1

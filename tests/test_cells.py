@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.operators import cells
 from vitrine.operators.cells import CellIndex, budget_search, calibrate, exact_search
 from vitrine.operators.knn import semantic_search
 from vitrine.operators.lsh import recall
@@ -95,6 +96,21 @@ def test_calibrated_budget_reaches_its_recall(spark, max_query_rows):
     assert near.where("query_id = doc_id").count() == 0
 
 
+@pytest.mark.parametrize("like", [True, False])
+def test_many_queries_go_to_groups_of_cells(spark, monkeypatch, like):
+    """A query is not copied for every cell that it looks at, whether these are few or nearly all."""
+    df = table(spark, clustered() if like else np.random.default_rng(6).normal(size=(1200, 12)))
+    queries = df.withColumnRenamed("doc_id", "query_id")
+    index = CellIndex.build(df)
+    staged, stage = [], cells.stage
+    monkeypatch.setattr(cells, "stage", lambda frame: staged.append(stage(frame)) or staged[-1])
+    got = pairs(exact_search(queries, index, 5, exclude_self=True, max_query_rows=0, corpus_block=400, query_block=500))
+    assert got == pairs(semantic_search(queries, df, 5, exclude_self=True))
+    groups = len(index.groups(400))
+    assert 3 <= groups < len(index.centres) / 4
+    assert max(frame.count() for frame in staged) <= 1200 * groups
+
+
 def test_written_index_reads_its_cells_only(spark, tmp_path, groups):
     df, index = groups
     index.write(str(tmp_path))

@@ -9,7 +9,8 @@ order of their cells, with each cell's size and radius.
   all cells that no better vector can lie in.
 
 A cell is scored as a block; what is shuffled is the best ``k`` per query and task. A cell that holds a third of
-the corpus, such as copies of one vector, lies in as many files and tasks as its rows need.
+the corpus, such as copies of one vector, lies in as many files and tasks as its rows need. Queries too many to be sent
+to every task meet groups of cells: a query goes to a group once, with a mark for each cell there that it looks at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vitrine import constants as C
 from vitrine.functions.vectors import has_direction
-from vitrine.operators.blocktopk import MAX_QUERY_BYTES, MAX_QUERY_ROWS, _Best, _is_small, _result_schema, grid_topk
+from vitrine.operators.blocktopk import CORPUS_BLOCK, MAX_QUERY_BYTES, MAX_QUERY_ROWS, _Best, _is_small, _result_schema, grid_topk
 from vitrine.operators.knn import CosineScorer
 from vitrine.operators.ranking import top_n
 from vitrine.session import ship_package, stage
@@ -144,6 +145,49 @@ class CellIndex:
         best = (1 + np.cos(np.maximum(angle - self.radii - _SLACK, 0))) / 2
         return (best + _SLACK >= bars[:, None]) & (self.sizes > 0)
 
+    def groups(self, rows: int) -> np.ndarray:
+        """The first cell of each group of neighbouring cells with at most ``rows`` vectors; a larger cell is its own group."""
+        first, held = [0], 0
+        for cell, size in enumerate(self.sizes.tolist()):
+            if held and held + size > rows:
+                first.append(cell)
+                held = 0
+            held += size
+        return np.array(first)
+
+
+class CellScorer(CosineScorer):
+    """Cosine scores within the cells that a query looks at.
+
+    ``cells`` of a query has a bit for each cell of the group, ``place`` of a document is the number of its cell there.
+    """
+
+    def queries(self, table: pa.Table):
+        bits = np.frombuffer(b"".join(table["cells"].to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
+        return self._unit(table), np.unpackbits(bits, axis=1).astype(bool)
+
+    def documents(self, table: pa.Table, queries):
+        place = table["place"].to_numpy()
+        order = np.argsort(place, kind="stable")
+        present, first = np.unique(place[order], return_index=True)
+        return self._unit(table), place, present, np.split(order, first[1:])
+
+    def score(self, queries, documents, start: int, stop: int) -> np.ndarray:
+        (asking, bits), (vectors, place, present, columns) = queries, documents
+        wanted = bits[start:stop]
+        pairs = wanted[:, present].sum(axis=0) @ np.array([len(c) for c in columns], dtype=np.int64)
+        if 2 * pairs > (stop - start) * len(place):
+            scores = super().score(asking, vectors, start, stop)
+            if pairs < scores.size:
+                scores[~wanted[:, place]] = -np.inf
+            return scores
+        scores = np.full((stop - start, len(place)), -np.inf)
+        for cell, own in zip(present.tolist(), columns):
+            rows = np.flatnonzero(wanted[:, cell])
+            if len(rows):
+                scores[np.ix_(rows, own)] = super().score(asking[start + rows], vectors[own], 0, len(rows))
+        return scores
+
 
 def _scan(index: CellIndex, table: pa.Table, wanted: np.ndarray, k: int, exclude_self: bool, schema) -> DataFrame:
     """Score the cells where they lie; ``wanted`` says which query looks at which."""
@@ -190,21 +234,26 @@ def _usable(queries: DataFrame, *more: str) -> DataFrame:
     return queries.select("query_id", "vec", *more).where(F.col("vec").isNotNull() & has_direction(F.col("vec")))
 
 
-def _cells_of(index: CellIndex, queries: DataFrame, choose: Callable[[CellIndex, pa.Table], np.ndarray]) -> DataFrame:
-    """``query_id, vec, cell``: one row for each cell that a query looks at."""
+def _groups_of(index: CellIndex, groups: np.ndarray, queries: DataFrame, choose: Callable[[CellIndex, pa.Table], np.ndarray]) -> DataFrame:
+    """``query_id, vec, group, cells``: one row for each group with a cell that a query looks at, and a bit for each cell there."""
     bare = CellIndex(None, index.centres, index.sizes, index.radii)
-    shared = index.vectors.sparkSession.sparkContext.broadcast(bare)
+    shared = index.vectors.sparkSession.sparkContext.broadcast((bare, [*groups.tolist(), len(index.centres)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, firsts = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                row, cell = np.nonzero(choose(shared.value, pa.Table.from_batches([part])))
-                held = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(cell.astype(np.int32))], names=["query_id", "vec", "cell"])
+                wanted = choose(held, pa.Table.from_batches([part]))
+                for group, (low, high) in enumerate(zip(firsts, firsts[1:])):
+                    rows = np.flatnonzero(wanted[:, low:high].any(axis=1))
+                    if len(rows):
+                        asked, bits = part.take(pa.array(rows)), np.packbits(wanted[rows, low:high], axis=1)
+                        columns = [asked.column(0), asked.column(1), pa.array(np.full(len(rows), group, np.int32)), pa.array([b.tobytes() for b in bits])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec", "group", "cells"])
 
     kinds = [queries.schema[name].dataType.simpleString() for name in ("query_id", "vec")]
-    return queries.mapInArrow(run, f"query_id {kinds[0]}, vec {kinds[1]}, cell int")
+    return queries.mapInArrow(run, f"query_id {kinds[0]}, vec {kinds[1]}, group int, cells binary")
 
 
 def _search(index: CellIndex, queries: DataFrame, choose, k: int, exclude_self: bool, max_query_rows: int, **blocks) -> DataFrame:
@@ -216,10 +265,13 @@ def _search(index: CellIndex, queries: DataFrame, choose, k: int, exclude_self:
         table = queries.toArrow()
         wanted = choose(index, table) if table.num_rows else np.zeros((0, len(index.centres)), dtype=bool)
         return _scan(index, table, wanted, k, exclude_self, _result_schema(index.vectors, queries))
-    asked = stage(_cells_of(index, queries, choose))
-    return grid_topk(
-        index.vectors.select("doc_id", "vec", "cell"), asked, CosineScorer(), k, keys=["cell"], exclude_self=exclude_self, **blocks
-    )
+    groups = index.groups(blocks.get("corpus_block", CORPUS_BLOCK))
+    asked = stage(_groups_of(index, groups, queries, choose))
+    group = np.searchsorted(groups, np.arange(len(index.centres)), side="right") - 1
+    places = [(c, g, c - f) for c, g, f in zip(range(len(group)), group.tolist(), groups[group].tolist())]
+    of_cell = index.vectors.sparkSession.createDataFrame(places, "cell int, group int, place int")  # at most MAX_CELLS
+    corpus = index.vectors.join(F.broadcast(of_cell), "cell").select("doc_id", "vec", "group", "place")
+    return grid_topk(corpus, asked, CellScorer(), k, keys=["group"], exclude_self=exclude_self, **blocks)
 
 
 def budget_search(

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import blocktopk, metadata_similarity as M
-from vitrine.operators.fuzzy import KeyTable, expand_terms
+from vitrine.operators.fuzzy import KeyTable, _swap_distance, expand_terms, vocabulary_keys
+from vitrine.operators.terms import SearchField, TextIndex
 
 ITEM = (
     "doc_id long, artist string, medium string, classification string, department string, culture string, "
@@ -127,3 +128,52 @@ def test_near_words_take_one_key_join(spark):
     wanted = spark.createDataFrame([("f", "pianted")], "field string, query_term string")
     plan = expand_terms(wanted, vocabulary)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def _edited(rng, word):
+    """The word after one or two edits, swaps also at its middle and at the cuts of its segments."""
+    for _ in range(rng.randrange(1, 3)):
+        i = rng.choice([rng.randrange(len(word)), len(word) // 2 - 1, len(word) // 5, len(word) - 2])
+        kind, c = rng.randrange(4), rng.choice("abé")
+        word = [word[:i] + c + word[i:], word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + word[i : i + 2][::-1] + word[i + 2 :]][kind]
+    return word
+
+
+def test_longer_words_are_found_by_few_keys(spark, tmp_path):
+    """Every word within the edits is found, from keys that are few for each word of the vocabulary."""
+    rng = random.Random(4)
+    bases = ["".join(rng.choice("abé") for _ in range(n)) for n in range(5, 31) for _ in range(3)]
+    words = sorted({*bases, *(_edited(rng, b) for b in bases for _ in range(12))})
+    asked = rng.sample(words, 150)
+    vocabulary = spark.createDataFrame([("text", w, 1) for w in words], "field string, term string, df long")
+    KeyTable.write(vocabulary, str(tmp_path), rows_per_bucket=3000)
+    wanted = spark.createDataFrame([("text", w) for w in asked], "field string, query_term string")
+    want = set()
+    for q in asked:
+        budget = 2 if len(q) >= 6 else 1 if len(q) >= 3 else 0
+        want |= {(q, w, d) for w in words if abs(len(q) - len(w)) <= 2 and (d := _swap_distance(q, w)) <= budget}
+    for keys in (None, KeyTable.read(spark, str(tmp_path))):
+        near = expand_terms(wanted, vocabulary, None, keys)
+        assert {(r.query_term, r.term, r.edits) for r in near.collect()} == want
+    held = vocabulary.where("char_length(term) >= 10").select(F.char_length("term").alias("n"), F.size(F.array_distinct(vocabulary_keys(F.col("term")))).alias("keys"))
+    assert held.where("keys > n + 2").count() == 0
+
+
+def test_postings_counted_in_rows_merge_equal_ids(spark, tmp_path):
+    """An index is written from words counted where they lie; rows with equal or missing ids and lengths count together, as before."""
+    corpus = spark.createDataFrame(
+        [(1, "b a b", "x"), (1, "a b c", "x"), (1, "a", "y"), (None, "a a", None), (None, "c a", "x"), (2, None, "x"), (3, "", None)],
+        "doc_id long, text string, kind string",
+    )
+    fields = [SearchField("text"), SearchField("kind", exact=True)]
+    index = TextIndex.of(corpus, fields)
+    index.write(str(tmp_path))
+    key = lambda r: (r.field, r.term, r.doc_id is None, r.doc_id or 0, r.dl)
+    got = sorted((*key(r), r.tf) for r in TextIndex.read(spark, str(tmp_path), fields).postings.collect())
+    assert got == sorted((*key(r), r.tf) for r in index.all_postings().collect())
+    none, one = (True, 0), (False, 1)
+    assert got == [
+        ("kind", "x", False, 1, 1, 2), ("kind", "x", False, 2, 1, 1), ("kind", "x", *none, 1, 1), ("kind", "y", *one, 1, 1),
+        ("text", "a", *one, 1, 1), ("text", "a", *one, 3, 2), ("text", "a", *none, 2, 3),
+        ("text", "b", *one, 3, 3), ("text", "c", *one, 3, 1), ("text", "c", *none, 2, 1),
+    ]

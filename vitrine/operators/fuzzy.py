@@ -4,13 +4,20 @@ Candidates come from an equi-join on keys and never from comparing all pairs:
 
 * Two short words within ``d`` edits (an adjacent swap counts one) share a string that
   remains after at most ``d`` deletions from each.
-* A long word would have too many of those.  It is cut into five segments instead; two
-  edits touch four at most, so one segment stands in the other word as it is, shifted
-  by two places at most.
+* A longer word would have too many of those.  It is cut into two halves instead; of two
+  edits one half takes one at most (a swap across the cut is a changed letter in each), so
+  that half and the part of the other word that it comes from share a string that remains
+  after at most one deletion from each.
+* A very long word is cut into five segments; two edits touch four at most, so one segment
+  stands in the other word as it is, shifted by two places at most.
+
+The vocabulary's words get the fewer keys, as they are many; a query term asks for all parts
+that may have come from theirs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,8 +34,9 @@ MOST_KEY_TASKS = 10_000
 
 _MOST_EDITS = 2
 _SEGMENTS = 5
-# Longest query term matched by deletions.
-_SHORT = 12
+# Longest vocabulary words matched by deletions, and by their halves.
+_SHORT = 9
+_MIDDLE = 24
 
 
 def edit_budget(term: Column) -> Column:
@@ -94,23 +102,73 @@ def _segment(term: Column, length: Column, i: Column, by: Column) -> Column:
     return F.xxhash64(length, i, F.substring(term, start + by + 1, stop - start))
 
 
+def _halves(term: Column, length: Column, own: Column, by: int = 0) -> list[tuple[int, Column]]:
+    """The parts of a word of ``own`` letters that stand for the halves of one of ``length``, ``by`` letters longer than these."""
+    first = F.floor(length / 2).cast("int")
+    last = length - first + by
+    return [(0, F.substring(term, F.lit(1), first + by)), (1, F.substring(term, own - last + 1, last))]
+
+
+def _half_key(length: Column, side: int) -> Callable[[Column], Column]:
+    return lambda part: F.xxhash64(length, F.lit(side), part)
+
+
+def half_keys(term: Column) -> Column:
+    """Hashes of both halves of a word and what remains of them after a deletion, with its length."""
+    length = F.char_length(term)
+    return F.concat(
+        *[
+            F.transform(F.concat(F.array(part), _shorter(F.array(part))), _half_key(length, side))
+            for side, part in _halves(term, length, length)
+        ]
+    )
+
+
+def reachable_half_keys(term: Column) -> Column:
+    """Hashes by which the halves of every word of like length are found that one edit may turn into a part of ``term``."""
+    own = F.char_length(term)
+    low, high = F.greatest(own - _MOST_EDITS, F.lit(_SHORT + 1)), F.least(own + _MOST_EDITS, F.lit(_MIDDLE))
+
+    def of_length(n: Column) -> Column:
+        parts = zip(_halves(term, n, own, -1), _halves(term, n, own), _halves(term, n, own, 1))
+        # A part with a letter less is a half with a deletion as it is; one with a letter more has to lose it.
+        return F.concat(
+            *[
+                F.transform(F.concat(F.array(less, same), _shorter(F.array(same, more))), _half_key(n, side))
+                for (side, less), (_, same), (_, more) in parts
+            ]
+        )
+
+    none = F.array().cast("array<bigint>")
+    return F.when(low <= high, F.flatten(F.transform(F.sequence(low, F.greatest(low, high)), of_length))).otherwise(none)
+
+
 def match_keys(term: Column, edits: Column) -> Column:
-    """Keys a query term is looked up by."""
+    """Keys a query term is looked up by, whichever way the vocabulary's words are cut; words without edits by themselves."""
+    length = F.char_length(term)
+    none = F.array().cast("array<bigint>")
     hashed = F.transform(deletion_keys(term, edits), lambda w: F.xxhash64(w))
-    return F.when(F.char_length(term) <= _SHORT, hashed).otherwise(segment_keys(term))
+    # Terms of few letters have fewer edits, and reach no word that is cut.
+    return F.concat(
+        F.when(length <= _SHORT + _MOST_EDITS, hashed).otherwise(none),
+        F.when(length > _SHORT - _MOST_EDITS, reachable_half_keys(term)).otherwise(none),
+        F.when(length > _MIDDLE - _MOST_EDITS, reachable_segment_keys(term)).otherwise(none),
+    )
 
 
 def vocabulary_keys(term: Column) -> Column:
-    """Keys a vocabulary term is found by, whichever way the query term asks."""
+    """Keys a vocabulary term is found by."""
     length = F.char_length(term)
     # A word of length n is only reached by query terms of n-2 letters or more.
     reach = F.when(length < 2, 0).when(length < 4, 1).otherwise(2)
-    none = F.array().cast("array<bigint>")
-    short = F.when(
-        length <= _SHORT + _MOST_EDITS, F.transform(deletion_keys(term, reach), lambda w: F.xxhash64(w))
-    ).otherwise(none)
-    long = F.when(length > _SHORT - _MOST_EDITS, reachable_segment_keys(term)).otherwise(none)
-    return F.concat(short, long)
+    short = F.transform(deletion_keys(term, reach), lambda w: F.xxhash64(w))
+    return F.when(length <= _SHORT, short).when(length <= _MIDDLE, half_keys(term)).otherwise(segment_keys(term))
+
+
+def most_vocabulary_keys(term: Column) -> Column:
+    """As many keys as a vocabulary term has, or more where letters repeat."""
+    n = F.char_length(term)
+    return F.when(n <= _SHORT, 1 + n + F.floor(n * (n - 1) / 2)).when(n <= _MIDDLE, n + 2).otherwise(_SEGMENTS)
 
 
 def _swap_distance(left: str, right: str, most: int | None = None) -> int:
@@ -175,8 +233,9 @@ class KeyTable:
     @staticmethod
     def write(vocabulary: DataFrame, path: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
         keyed = keyed_vocabulary(vocabulary)
-        n = vocabulary.select(F.sum(F.size(F.array_distinct(vocabulary_keys(F.col("term")))))).first()[0] or 0
-        buckets = max(1, -(-n // rows_per_bucket))
+        n = vocabulary.select(F.sum(most_vocabulary_keys(F.col("term")))).first()[0] or 0
+        # Twice as many as even ones would take: many words share a half, so buckets fill unevenly.
+        buckets = max(1, -(-2 * n // rows_per_bucket))
         keyed = keyed.withColumn("bucket", KeyTable.bucket(F.col("key"), buckets))
         # A task for each bucket: its rows come together once, and a search reads whole folders of sorted keys.
         dealt = keyed.repartition(min(buckets, MOST_KEY_TASKS), "bucket").sortWithinPartitions("bucket", "key", "field", "term")
@@ -220,9 +279,11 @@ def expand_terms(
     near = (
         left.join(right, ["field", "key"])
         .where(F.abs(F.char_length("query_term") - F.char_length("term")) <= F.col("budget"))
-        .select("field", "query_term", "budget", "term", "df")
-        .distinct()
         .withColumn("plain", F.levenshtein("query_term", "term", 2 * _MOST_EDITS))
+        # Halves meet words that are far off, so these are dropped before pairs are dealt out.
+        .where(F.col("plain").between(0, 2 * F.col("budget")))
+        .select("field", "query_term", "budget", "term", "df", "plain")
+        .distinct()
     )
     near = _counted_edits(near)
     shorter = F.least(F.char_length("query_term"), F.char_length("term"))

@@ -111,17 +111,32 @@ class TextIndex:
     def all_postings(self) -> DataFrame:
         if self.postings is not None:
             return self.postings
+        return _merged(self._row_postings())
+
+    def _row_postings(self) -> DataFrame:
+        """Postings of each row of the corpus, counted where it lies; rows with equal ids are not merged."""
         terms = field_terms(self.corpus, [(f, f.value) for f in self.fields], "doc_id")
-        exploded = terms.select("doc_id", "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        return exploded.groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        # Equal words stand together once sorted; a word is counted from its first place to that of the next one.
+        ordered = terms.select("doc_id", "field", F.size("terms").alias("dl"), F.sort_array("terms").alias("terms"))
+        new = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
+        at = F.col("at")
+        counted = F.transform(
+            at,
+            lambda i, n: F.struct(
+                F.get("terms", i - 1).alias("term"), (F.coalesce(F.get(at, n + 1), F.col("dl") + 1) - i).cast("long").alias("tf")
+            ),
+        )
+        return ordered.withColumn("at", new).select("field", "doc_id", "dl", F.inline(counted))
 
     def write(self, path: str, partitions: int | None = None) -> None:
         """Write the index.  Postings are range-partitioned and sorted by term, so a
         search reads the row groups of its terms only, and a frequent term spans files."""
         order = ["field", "term", "doc_id"]
-        postings = self.all_postings()
+        # Staged, as the ranges are found by reading all postings; equal ids meet in a range, so one shuffle serves both.
+        postings = self.postings if self.postings is not None else stage(self._row_postings())
         ranged = postings.repartitionByRange(partitions, *order) if partitions else postings.repartitionByRange(*order)
-        ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+        merged = ranged if self.postings is not None else _merged(ranged)
+        merged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
         KeyTable.write(self.vocabulary, f"{path}/keys")
         self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
@@ -137,6 +152,10 @@ class TextIndex:
         )
 
 
+def _merged(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+
+
 def weighted_features(
     wanted: DataFrame, index: TextIndex, fuzzy_fields: Collection[str], max_expansions: int | None = C.MAX_EXPANSIONS
 ) -> DataFrame:

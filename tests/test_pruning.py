@@ -52,6 +52,45 @@ def test_metadata_signatures_equal_scoring_all(spark, options, monkeypatch):
     assert ranked(M.similar_by_metadata(df, some, 5, **options)) == ranked(M.similar_by_metadata(df, some, 5, with_total=True))
 
 
+def test_queries_meet_only_blocks_that_may_reach_their_bar(spark, monkeypatch):
+    """In blocks of the whole corpus by likeness; years, sizes and values may be missing. Nothing may be lost by it."""
+    monkeypatch.setattr(blocktopk, "BOUNDED_BLOCK", 24)
+    monkeypatch.setattr(blocktopk, "MOST_BLOCKS", 1.0)
+    monkeypatch.setattr(M, "OWN_ROWS", 32)
+    monkeypatch.setattr(M.MetadataScorer, "block_rows", 8)
+    sizes, stage = [], blocktopk.stage
+
+    def noted(df):
+        staged = stage(df)
+        if "blocks" in staged.columns:
+            sizes.extend(r[0] for r in staged.select(F.size("blocks")).collect())
+        return staged
+
+    monkeypatch.setattr(blocktopk, "stage", noted)
+    df = spark.createDataFrame(gallery(600, 11, 0), ITEM).repartition(3)
+    assert ranked(M.similar_by_metadata(df, size=4, max_query_rows=0)) == ranked(M.similar_by_metadata(df, size=4, with_total=True))
+    assert len(sizes) > 500 and 1 <= sum(sizes) / len(sizes) < 0.75 * 600 / 24
+    # Without a bar of use all blocks are asked for, which falls back to the grid.
+    monkeypatch.setattr(blocktopk, "MOST_BLOCKS", 0.0)
+    some = df.where("doc_id % 9 = 0")
+    assert ranked(M.similar_by_metadata(df, some, 5, max_query_rows=0)) == ranked(M.similar_by_metadata(df, some, 5, with_total=True))
+
+
+def test_bars_wait_for_enough_rows(spark):
+    """Batches of few rows are put together, so a bar is never one of a piece without ``k`` documents."""
+    class Equal:
+        queries = documents = staticmethod(lambda table, *rest: table.num_rows)
+        score = staticmethod(lambda queries, documents, start, stop: np.ones((stop - start, documents)))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        both = spark.range(103).coalesce(1).select(F.col("id").alias("query_id"), F.col("id").alias("_doc_doc_id"))
+        bars = blocktopk.own_block_bars(both, Equal(), 8, ["query_id"], 16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
+    assert sorted(r.query_id for r in bars) == list(range(103)) and {r.bar for r in bars} == {1.0}
+
+
 def test_only_copies_and_single_items(spark):
     same = [(i, "A", "oil", "Paintings", "E", None, None, None, None, 1900, 1900, 5.0, 5.0) for i in range(40)]
     df = spark.createDataFrame(same, ITEM)

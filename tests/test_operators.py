@@ -16,6 +16,7 @@ from vitrine.operators.lsh import approximate_search, recall
 from vitrine.operators.metadata_similarity import Clauses, similar_by_metadata
 from vitrine.operators.tags import tag_facet, tag_matches, tag_search
 from vitrine.operators.terms import SearchField, TextIndex
+from vitrine.plans import similar
 from vitrine.plans.search import SearchOptions, hybrid_models, hybrid_search, multi_mode_search
 from vitrine.plans.similar import combined_similar, similar_views
 
@@ -329,6 +330,28 @@ def test_combined_and_views(spark, gallery):
     assert {r.view for r in views.select("view").distinct().collect()} == {"siglip2", "combined", "metadata"}
 
 
+def test_views_rank_metadata_once(spark, gallery, monkeypatch):
+    """The metadata ranking is a view and a list of the combined one, and is read from where it was staged by both."""
+    items, clauses = gallery
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "doc_id long, vec array<double>")
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(*args, **options):
+        ranked = similar_by_metadata(*args, **options).coalesce(1)
+
+        def run(batches):
+            for batch in batches:
+                passed.add(batch.num_rows)
+                yield batch
+
+        return ranked.mapInArrow(run, ranked.schema)
+
+    monkeypatch.setattr(similar, "similar_by_metadata", counted)
+    views = similar_views(items, {"siglip2": vec}, ["siglip2"], size=4, clauses=clauses).collect()
+    listed = sum(r.view == "metadata" for r in views)
+    assert listed and passed.value == listed
+
+
 def test_hybrid(spark, library):
     _, _, df, qdf, _, fields = library
     index = TextIndex.of(df, fields)

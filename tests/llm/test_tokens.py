@@ -1,6 +1,8 @@
 """Operators on token sequences against the tokenizer library and greedy matching."""
 
+import gc
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -160,6 +162,24 @@ def test_packing_pads_nothing_and_fills_most_sequences(spark):
     assert sum(r.length for r in rows if r.sequence_id in full) > 0.95 * sum(r.length for r in rows)
 
 
+def test_coding_a_batch_takes_little_memory():
+    """Scratch space follows the bytes that are coded at once, not the batch."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(2400)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tokens = WordTokens(open(WORDS, encoding="utf-8").read())
+    gc.collect()
+    tracemalloc.start()
+    try:
+        found = sum(len(ids) for _, coded in packing.coded_parts(batch, tokens) for ids, _ in coded)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found > 400 * len(texts)
+    assert peak < 64 << 20
+
+
 def test_odd_texts_by_word_ids():
     texts = [t or "" for t in ODD]
     ids, offsets = WORD_TOKENS(pa.array(texts))

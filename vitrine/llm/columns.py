@@ -40,6 +40,7 @@ def held_in_worker(key: object, build: Callable[[], object]):
         _HELD.clear()
         release()
         _HELD[key] = build()
+        release()
     return _HELD[key]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from vitrine.session import ship_package
 
 #: Pieces that wait in a task for a sequence that suits them.
 POOL = 1024
+#: Bytes of text that a task codes at once, about 60 bytes of scratch space for each.
+CODED_BYTES = 3 << 19
 SCHEMA = (
     "start long, length long, ids binary, loss_tokens long, doc_tokens long, "
     "sequence_id long, offset long, padded_length long"
@@ -130,6 +132,13 @@ class Packer:
         return out
 
 
+def coded_parts(batch: pa.RecordBatch, tokens: Callable) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Parts of a batch (an id and its texts) of about ``CODED_BYTES`` each, with the ids and offsets of every text column."""
+    for begin, stop in slices(batch.column(batch.num_columns - 1), CODED_BYTES):
+        part = batch.slice(begin, stop - begin)
+        yield part, [tokens(part.column(i)) for i in range(1, part.num_columns)]
+
+
 def pack_documents(
     df: DataFrame,
     vocabulary: str,
@@ -193,9 +202,7 @@ def pack_documents(
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for begin, stop in slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(begin, stop - begin)
-                coded = [tokens(part.column(i)) for i in range(1, part.num_columns)]
+            for part, coded in coded_parts(batch, tokens):
                 for row, value in enumerate(part.column(0).to_pylist()):
                     runs = [ids[ends[row] : ends[row + 1]].astype("<u4") for ids, ends in coded]
                     keys[count] = value

@@ -17,7 +17,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of a unit's objects, its dictionary entry and its two numbers, besides its own.
 UNIT_BYTES = 200
 #: Bytes that are hashed at once; about 32 bytes of scratch space for each.
-_HASHED = 2 << 20
+_HASHED = 1 << 19
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import blocktopk
+from vitrine.operators import blocktopk, features
 from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.fuzzy import _swap_distance, expand_terms
 from vitrine.operators.knn import semantic_search, similar_by_vector
@@ -78,6 +79,40 @@ def test_small_blocks_give_the_same(points, monkeypatch):
     assert {q: [d for d, _ in h] for q, h in got.items()} == {q: [d for d, _ in h] for q, h in want.items()}
 
 
+def _long_documents(n=2000, words=300):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(2000)]
+    return vocabulary, [(i, rng.choices(vocabulary, k=words)) for i in range(n)]
+
+
+def test_long_documents_are_decoded_in_small_parts(monkeypatch):
+    """The bytes decoded at once have a bound; the ranking is that of one block."""
+    vocabulary, rows = _long_documents()
+    docs = pa.table({"doc_id": [i for i, _ in rows], "text": [words for _, words in rows]})
+    wanted = [[{"field": "text", "term": t, "avg_length": 300.0, "weight": 1.0} for t in vocabulary[q : q + 20]] for q in range(50)]
+    queries = pa.table({"query_id": list(range(50)), "features": wanted})
+    seen = []
+
+    class Noted(features.FeatureScorer):
+        def documents(self, table, queries):
+            seen.append(table.nbytes)
+            return super().documents(table, queries)
+
+    def best():
+        scorer = Noted([SearchField("text")], best_field=True)
+        found, decoded, positions = blocktopk._setup(scorer, queries, 20, False)
+        blocktopk._offer_block(found, scorer, decoded, positions, docs, False)
+        return found.table(pa.int64(), pa.int64()).to_pydict()
+
+    whole = best()
+    assert len(seen) == 1
+    monkeypatch.setattr(blocktopk, "BYTES_AT_ONCE", 1 << 20)
+    monkeypatch.setattr(features, "WORDS_AT_ONCE", 5000)
+    seen.clear()
+    assert best() == whole
+    assert len(seen) > 4 and max(seen) <= 1 << 20
+
+
 def test_top_k_is_prefix(points):
     df, _ = points
     longer, shorter = ranks(similar_by_vector(df, size=8)), ranks(similar_by_vector(df, size=7))

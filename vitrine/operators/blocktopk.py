@@ -33,6 +33,8 @@ MAX_QUERY_ROWS = 16_384
 MAX_QUERY_BYTES = 128 << 20
 # Scores held at once: few enough to stay in a core's cache.
 CELLS_AT_ONCE = 500_000
+# Bytes of documents decoded at once.
+BYTES_AT_ONCE = 64 << 20
 CORPUS_BLOCK = 50_000
 QUERY_BLOCK = 16_384
 # Documents of a block that a query is kept from as a whole, the fewest where blocks are cut for every core to have
@@ -160,7 +162,9 @@ class _Best:
 def _offer_block(best: _Best, scorer: Scorer, queries: Any, positions: dict, table: pa.Table, exclude_self: bool) -> None:
     """Score one block of documents, of a scorer with bounds in small blocks of like documents."""
     if not best.barred:
-        return _offer_part(best, scorer, queries, np.arange(len(best.query_ids)), positions, table, exclude_self)
+        for part in _pieces(table):
+            _offer_part(best, scorer, queries, np.arange(len(best.query_ids)), positions, part, exclude_self)
+        return
     table = scorer.order(table)
     for start in range(0, table.num_rows, scorer.block_rows):
         part = table.slice(start, scorer.block_rows).sort_by("doc_id")
@@ -171,6 +175,16 @@ def _offer_block(best: _Best, scorer: Scorer, queries: Any, positions: dict, tab
             _offer_part(best, scorer, chosen, rows, positions, part, exclude_self, documents)
 
 
+def _pieces(table: pa.Table) -> Iterator[pa.Table]:
+    """All rows in pieces of at most ``BYTES_AT_ONCE`` bytes; a longer row stands alone."""
+    if table.nbytes <= BYTES_AT_ONCE or table.num_rows < 2:
+        yield table
+        return
+    half = table.num_rows // 2
+    yield from _pieces(table.slice(0, half))
+    yield from _pieces(table.slice(half))
+
+
 def _offer_part(best, scorer, queries, rows: np.ndarray, positions: dict, table: pa.Table, exclude_self: bool, documents=None) -> None:
     """Score some queries (``rows`` of all) against documents, in chunks of queries that bound the memory."""
     table = table.sort_by("doc_id")

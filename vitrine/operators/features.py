@@ -13,6 +13,8 @@ from vitrine.operators.terms import SearchField
 
 # Share of a block's documents from which a term counts as frequent, and the most such terms.
 FREQUENT = 0.01
+# Words of documents that are looked up at once.
+WORDS_AT_ONCE = 500_000
 MOST_FREQUENT = 128
 
 
@@ -165,17 +167,30 @@ def _by_term(docs: np.ndarray, codes: np.ndarray, worth: np.ndarray, terms: int,
 def _saturated(table: pa.Table, name: str, vocabulary: pa.Array, average: float):
     """(document, term, saturation) of every pair that occurs in a text field."""
     column = table[name].combine_chunks()
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
-    codes = pc.index_in(column.flatten(), value_set=vocabulary)
-    valid = pc.is_valid(codes).to_numpy(zero_copy_only=False)
-    docs = np.repeat(np.arange(len(column)), sizes)[valid]
-    pairs = docs * len(vocabulary) + codes.drop_null().to_numpy().astype(np.int64)
-    if f"{name}#tf" in table.column_names:
-        tf = table[f"{name}#tf"].combine_chunks().flatten().to_numpy()[valid]
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    counted = f"{name}#tf" in table.column_names
+    parts, start = [], 0
+    ends = np.cumsum(lengths)
+    while start < len(lengths):
+        taken = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, taken + WORDS_AT_ONCE, side="right")))
+        part, sizes = column.slice(start, stop - start), lengths[start:stop]
+        codes = pc.index_in(part.flatten(), value_set=vocabulary)
+        valid = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+        docs = np.repeat(np.arange(start, stop), sizes)[valid]
+        pairs = docs * len(vocabulary) + codes.drop_null().to_numpy().astype(np.int64)
+        if counted:
+            tf = table[f"{name}#tf"].combine_chunks().slice(start, stop - start).flatten().to_numpy()[valid]
+        else:
+            pairs, tf = np.unique(pairs, return_counts=True)
+        parts.append((pairs, tf))
+        start = stop
+    if not parts:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    pairs, tf = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    if counted:
         lengths = pc.fill_null(table[f"{name}#length"].combine_chunks(), 0).to_numpy()
-    else:
-        pairs, tf = np.unique(pairs, return_counts=True)
-        lengths = sizes
     docs, codes = pairs // len(vocabulary), pairs % len(vocabulary)
     norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * lengths[docs] / average)
     return docs, codes, (C.BM25_K1 + 1) * tf / (tf + norm)

@@ -145,3 +145,24 @@ def test_covering_masks_of_whole_texts_take_part(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in S.similar_groups(df).collect()}
     assert all(got[100 + i] == i for i in near)
     assert all(got[i] == i and got[100 + i] in (i, 100 + i) for i in range(60))
+
+
+@pytest.mark.parametrize("piece", [512, 7])
+def test_others_of_a_crowded_bucket_are_compared(spark, monkeypatch, piece):
+    """All texts share their only part, and no two SimHashes meet: links between others than the smallest one stay."""
+    rng = random.Random(8)
+    monkeypatch.setattr(S, "PIECE", piece)
+    texts = {}
+    for i in range(30):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(40, 120))]
+        texts[i] = " ".join(words)
+        texts[100 + i] = " ".join(words[len(words) // 8 :])
+        # Like the second one, but not like the first.
+        texts[200 + i] = " ".join([texts[100 + i], *(f"v{rng.randrange(9000)}" for _ in range(len(words) // 8))])
+    assert any(jaccard(texts[i], texts[200 + i]) < 0.8 <= jaccard(texts[100 + i], texts[200 + i]) for i in range(30))
+    texts |= {300 + i: " ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for i in range(20)}
+    sketches = S.sketches
+    one = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("part"), F.lit(7).cast("long").alias("print")))
+    monkeypatch.setattr(S, "sketches", lambda *args: sketches(*args).withColumn("parts", one).withColumn("whole", F.xxhash64("node")))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(df).collect()} == reach(texts)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import blocktopk, features
+from vitrine.operators import blocktopk, features, knn, lsh
 from vitrine.operators.bm25 import keyword_search
 from vitrine.operators.fuzzy import _swap_distance, expand_terms
 from vitrine.operators.knn import semantic_search, similar_by_vector
@@ -456,3 +456,87 @@ def test_tag_search_of_few_lists_leaves_the_corpus_in_place(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lsh_scores_no_pair_twice(spark, monkeypatch):
+    """Where buckets hold more pairs than there are, blocks of all are scored once, with the hits that the buckets give."""
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(400, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "doc_id long, vec array<double>").repartition(3)
+    queries = df.withColumnRenamed("doc_id", "query_id")
+    asked = []
+    real = lsh.grid_topk
+    monkeypatch.setattr(lsh, "grid_topk", lambda *a, **o: asked.append(o.get("keys")) or real(*a, **o))
+
+    def hits(corpus=df):
+        found = approximate_search(queries, corpus, 10, tables=6, width=0.6, exclude_self=True).collect()
+        return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in found)
+
+    once = hits()
+    assert asked == [None]
+    # Repeated rows push nothing out.
+    assert hits(df.unionByName(df.where("doc_id < 200")).unionByName(df.where("doc_id < 100"))) == once
+    monkeypatch.setattr(lsh, "_pairs", lambda *a: (0, 1))
+    assert hits() == once
+    assert asked == [None, None, ["hash_table", "bucket"]]
+
+
+def test_rough_scores_lose_no_hit():
+    """Hits that differ by less than single precision tells are ranked in double precision; few pairs are scored so."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    near = base + 1e-5 * rng.normal(size=(4000, 64))
+    vecs = np.concatenate([near, rng.normal(size=(4000, 64)), np.zeros((1, 64))])
+    asked = np.concatenate([base[None], rng.normal(size=(39, 64)) - base, np.zeros((1, 64))])
+    docs = pa.table({"doc_id": np.arange(len(vecs)), "vec": pa.array(list(vecs))})
+    queries = pa.table({"query_id": np.arange(len(asked)), "vec": pa.array(list(asked))})
+    scorer = knn.RoughCosineScorer()
+    scored, exact = [], scorer.exact
+    scorer.exact = lambda *a: scored.append(len(a[2])) or exact(*a)
+    got = blocktopk._cell(scorer, 7, False, [])(docs, queries)
+    with np.errstate(invalid="ignore"):
+        unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (asked, vecs)]
+    want = np.round((1 + unit[0] @ unit[1].T) / 2, 6)
+    listed = {}
+    for q, d, s in zip(*(got[c].to_pylist() for c in ("query_id", "doc_id", "score"))):
+        listed.setdefault(q, []).append((-s, d))
+    for q in range(40):
+        best = sorted((-s, d) for d, s in enumerate(want[q].tolist()) if not np.isnan(s))[:7]
+        assert sorted(listed[q]) == best
+    assert 40 not in listed
+    # All near ones of the first query, and some of the others.
+    assert sum(scored) < 0.1 * len(vecs) * len(asked)
+    assert sorted(set(got["matches"].to_pylist())) == [0, 8000]
+
+
+def test_similar_views_rank_vectors_once_and_broadcast_no_ids(spark, monkeypatch):
+    items, vecs = _view_tables(spark)
+    plans = []
+    real = similar.similar_by_vector
+    monkeypatch.setattr(similar, "similar_by_vector", lambda *a, **o: plans.append(1) or real(*a, **o))
+    monkeypatch.setattr(similar, "semantic_search", lambda *a, **o: pytest.fail("ranked again"))
+    views = similar.similar_views(items, {"siglip2": vecs}, ["siglip2"], 3, items, max_query_rows=0)
+    assert plans == [1]
+    got = {(r.view, r.query_id, r["rank"]): r.doc_id for r in views.collect()}
+    monkeypatch.undo()
+    want = real(vecs, items, 3).collect()
+    assert {("siglip2", r.query_id, r["rank"]): r.doc_id for r in want} == {k: v for k, v in got.items() if k[0] == "siglip2"}
+    combined = similar.combined_similar(items, {"siglip2": vecs}, ["siglip2"], 3, similar.C.COMBINED_WEIGHTS, items).collect()
+    assert {("combined", r.query_id, r["rank"]): r.doc_id for r in combined} == {k: v for k, v in got.items() if k[0] == "combined"}
+    # The ids of sources stay on the executors, whatever the planner takes their size for.
+    queries = vecs.join(items.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    assert "Broadcast" not in queries._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(knn, "semantic_search", lambda q, *a, **o: seen.append(q) or q)
+    knn.similar_by_vector(vecs, items, 3)
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def _view_tables(spark):
+    rng = np.random.default_rng(10)
+    vecs = rng.normal(size=(30, 4))
+    vecs[7] = vecs[2]
+    rows = [(i, f"a{i % 3}", f"m{i % 5}", "c", "d", "u", "n", "p", "y", 1900 + i, 1901 + i, 5.0, 6.0) for i in range(40)]
+    names = "doc_id long, artist string, medium string, classification string, department string, culture string, artistNationality string, period string, dynasty string, dateBegin int, dateEnd int, width double, height double"
+    return spark.createDataFrame(rows, names), spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id long, vec array<double>")

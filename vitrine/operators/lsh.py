@@ -3,10 +3,15 @@
 Vectors are hashed into buckets by several tables of joint projections.  A bucket is
 scored exactly and block by block; one that holds many copies is split over tasks, so
 pairs within it are neither emitted nor gathered in one place.
+
+Where the buckets hold more pairs than there are, as pairs meet in several tables, blocks of all are scored once and the
+buckets of the pairs that may be among the best are compared: the same hits for less work.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,20 +20,48 @@ from pyspark.sql import functions as F
 from vitrine import constants as C
 from vitrine.functions.vectors import has_direction, normalize
 from vitrine.operators.blocktopk import grid_topk
-from vitrine.operators.knn import CosineScorer
+from vitrine.operators.knn import PAIRS_AT_ONCE, RoughCosineScorer
 from vitrine.operators.ranking import top_n
 from vitrine.session import stage
 
 
+class BucketScorer(RoughCosineScorer):
+    """Cosine scores of pairs that share one of their ``buckets``; a document counts once, with its best row."""
+
+    distinct = True
+
+    def _decode(self, table: pa.Table):
+        buckets = table["buckets"].combine_chunks()
+        return *super()._decode(table), buckets.flatten().to_numpy().reshape(len(buckets), -1)
+
+    def matching(self, queries, documents, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        good = np.empty(len(rows), dtype=bool)
+        for at in range(0, len(rows), PAIRS_AT_ONCE):
+            some = slice(at, at + PAIRS_AT_ONCE)
+            good[some] = (queries[2][rows[some]] == documents[2][cols[some]]).any(axis=1)
+        return good
+
+
 def _hashed(df: DataFrame, model, id_col: str, joint: int, tables: int) -> DataFrame:
-    """One row per table with the joint bucket of its projections."""
+    """The vectors with ``buckets``, the joint bucket of their projections in each table."""
     hashed = model.transform(df)
     values = F.transform(F.col("hashes"), lambda h: F.element_at(vector_to_array(h), 1).cast("long"))
-    buckets = [
-        F.struct(F.lit(t).alias("hash_table"), F.xxhash64(F.slice("hash_values", t * joint + 1, joint)).alias("bucket"))
-        for t in range(tables)
-    ]
-    return hashed.withColumn("hash_values", values).select(id_col, "vec", F.inline(F.array(*buckets)))
+    buckets = [F.xxhash64(F.slice("hash_values", t * joint + 1, joint)) for t in range(tables)]
+    return hashed.withColumn("hash_values", values).select(id_col, "vec", F.array(*buckets).alias("buckets"))
+
+
+def _by_table(hashed: DataFrame, *columns: str) -> DataFrame:
+    """One row per table with its bucket."""
+    return hashed.select(*columns, F.posexplode("buckets").alias("hash_table", "bucket"))
+
+
+def _pairs(documents: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """How many pairs the buckets hold, and how many there are."""
+    keys = ["hash_table", "bucket"]
+    held = _by_table(documents).groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    asked = _by_table(queries).groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    met = held.join(asked, keys).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
+    return int(met), documents.count() * queries.count()
 
 
 def approximate_search(
@@ -58,16 +91,16 @@ def approximate_search(
 
     documents, wanted = unit(corpus, "doc_id"), unit(queries, "query_id")
     model = lsh.fit(documents)
-    cells = grid_topk(
-        # Read for the sizes of the buckets, the split of large ones and the rows themselves.
-        stage(_hashed(documents, model, "doc_id", joint, tables)),
-        stage(_hashed(wanted, model, "query_id", joint, tables)),
-        CosineScorer(),
-        size,
-        keys=["hash_table", "bucket"],
-        exclude_self=exclude_self,
-        **blocks,
-    )
+    # Read for the sizes of the buckets, the split of large ones and the rows themselves.
+    held = stage(_hashed(documents, model, "doc_id", joint, tables))
+    asked = stage(_hashed(wanted, model, "query_id", joint, tables))
+    met, pairs = _pairs(held, asked)
+    if met > pairs:
+        cells = grid_topk(held, asked, BucketScorer(), size, exclude_self=exclude_self, **blocks)
+    else:
+        keys = ["hash_table", "bucket"]
+        held, asked = _by_table(held, "doc_id", "vec"), _by_table(asked, "query_id", "vec")
+        cells = grid_topk(held, asked, RoughCosineScorer(), size, keys=keys, exclude_self=exclude_self, **blocks)
     # The same document may turn up in several tables, always with the same score.
     return top_n(cells.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), size)
 
